@@ -1,0 +1,37 @@
+"""The registered queries of this subpackage and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerlens.llm.substring_dedup import substring_digest
+
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+k AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+m AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k JOIN m USING (k) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS j FROM w),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS n
+  FROM words ANTI JOIN hit USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {"op3_substring_dedup": op3_substring_dedup}
+ORACLES = {"op3_substring_dedup": OP3_SQL}
