@@ -33,5 +33,93 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup}
-ORACLES = {"op3_substring_dedup": OP3_SQL}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerlens.llm.decontaminate import decontamination_digest
+
+    return decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = r"""
+WITH t AS (
+  SELECT doc_id, NULL AS item_id, text, false AS item FROM documents
+  UNION ALL SELECT NULL, item_id, text, true FROM benchmark),
+w AS (
+  SELECT doc_id, item_id, item,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM t),
+grams AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i
+        FROM w WHERE item AND len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM grams),
+places AS (
+  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, sizes WHERE NOT item AND len(ws) >= n)),
+hits AS (SELECT doc_id, p.n, i, item_id FROM places p JOIN grams USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) WHERE NOT item
+"""
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerlens.llm.simhash import simhash_digest
+
+    return simhash_digest(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerlens.llm.quality_rules import quality_rules, train
+
+    documents = table(spark, sf_dir, "documents")
+    return quality_rules(documents, train(documents, table(spark, sf_dir, "labels")), keep=("doc_id",))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerlens.llm.quality_classifier import classifier_digest
+
+    return classifier_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from answerlens.llm.line_dedup import line_dedup
+
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+k AS (
+  SELECT doc_id, i, array_to_string(ls[i:i + 1], chr(10)) AS k
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM l WHERE len(ls) >= 2)),
+m AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
+own AS (SELECT k, doc_id, min(i) AS first_i FROM k GROUP BY k, doc_id),
+hit AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 2)) AS j
+  FROM k JOIN m USING (k) JOIN own USING (k, doc_id) WHERE first < doc_id OR first_i < i),
+lines AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS j FROM l),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY j) AS t, count(*) AS n FROM lines ANTI JOIN hit USING (doc_id, j) GROUP BY doc_id)
+SELECT l.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls), 0) - coalesce(n, 0) AS BIGINT) AS n_removed_lines,
+       sha256(CASE WHEN ls IS NOT NULL THEN coalesce(t, '') END) AS kept_sha256
+FROM l LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_simhash": op9_simhash,
+}
+#: None of op2 and op5 (trained models) and op9 (XXH64 isn't in DuckDB): see tests/llm.
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}

@@ -44,7 +44,7 @@ def extended(df: DataFrame, *fields: tuple[str, str]) -> StructType:
     """The schema of df with (name, type) fields behind."""
     schema = StructType(list(df.schema.fields))
     for name, kind in fields:
-        schema.add(name, kind)
+        schema.add(StructType.fromDDL(f"`{name}` {kind}").fields[0])
     return schema
 
 
