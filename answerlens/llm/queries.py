@@ -113,13 +113,50 @@ SELECT l.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(
 FROM l LEFT JOIN kept USING (doc_id)
 """
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerlens.llm.html_extract import extract_html
+
+    return extract_html(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerlens.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"), keep=("doc_id",))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerlens.llm.sharding import shard
+
+    out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "row_bytes", "shard", "shard_depth", "shard_bytes", "shard_rows")
+
+
+OP10_SQL = """
+WITH k AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS row_bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (
+  SELECT d, h >> (60 - d) AS p, sum(row_bytes) AS bytes, count(*) AS n
+  FROM k, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS d) GROUP BY ALL),
+best AS (
+  SELECT h, min(d) AS d FROM (SELECT DISTINCT h FROM k) JOIN s ON h >> (60 - d) = p WHERE bytes <= 1048576 GROUP BY h)
+SELECT k.doc_id, row_bytes, lpad(bin(p), d, '0') AS shard, d AS shard_depth, CAST(bytes AS BIGINT) AS shard_bytes, n AS shard_rows
+FROM k JOIN (SELECT h, coalesce(d, 60) AS bd FROM (SELECT DISTINCT h FROM k) LEFT JOIN best USING (h)) USING (h)
+JOIN s ON s.d = bd AND s.p = k.h >> (60 - bd)
+"""
+
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_license_scan": op7_license_scan,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
+    "op10_sharding": op10_sharding,
 }
 #: None of op2 and op5 (trained models) and op9 (XXH64 isn't in DuckDB): see tests/llm.
-ORACLES = {"op3_substring_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op10_sharding": OP10_SQL}
