@@ -147,12 +147,19 @@ FROM k JOIN (SELECT h, coalesce(d, 60) AS bd FROM (SELECT DISTINCT h FROM k) LEF
 JOIN s ON s.d = bd AND s.p = k.h >> (60 - bd)
 """
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from answerlens.llm.sentencepieces import token_digest
+
+    return token_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_license_scan": op7_license_scan,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
