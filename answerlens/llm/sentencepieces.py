@@ -157,24 +157,24 @@ def frequent_words(counts: DataFrame, most: int, longest: int) -> DataFrame:
 
 
 def lattice(words: DataFrame, spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(word, edges): edges are (s, e, id, score), 0-based, of all substrings that are pieces."""
+    """(word, edges): edges are (rank, s, e, id, score), 0-based, of all substrings that are pieces, in order of rank."""
     table = spark.createDataFrame(pieces.pieces, "piece string, id int, score double")  # as long as the vocabulary
     starts = words.repartition("word").select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
     ends = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + pieces.width, F.length("word")))).alias("e"))
     parts = ends.withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
-    edges = parts.join(F.broadcast(table), "piece").groupBy("word").agg(F.collect_list(F.struct("s", "e", "id", "score")).alias("edges"))
-    return words.join(edges, "word", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<s:int,e:int,id:int,score:double>>)")))
+    edges = parts.join(F.broadcast(table), "piece").groupBy("word").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "s", "e", "id", "score"))).alias("edges"))
+    return words.join(edges, "word", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<rank:double,s:int,e:int,id:int,score:double>>)")))
 
 
 def merge_bounds() -> Column:
     """Bounds of the segments of `word`: edges in order of score join two neighbouring segments each."""
     return F.expr("""
       aggregate(
-        array_sort(filter(edges, x -> x.e - x.s > 1), (a, b) -> CASE WHEN a.score > b.score THEN -1 WHEN a.score < b.score THEN 1 ELSE a.s - b.s END),
+        filter(edges, x -> x.e - x.s > 1),
         sequence(0, length(word)),
         (bounds, x) -> CASE
-          WHEN array_position(bounds, x.s) > 0 AND array_position(bounds, x.e) = array_position(bounds, x.s) + 2
-          THEN array_remove(bounds, bounds[cast(array_position(bounds, x.s) as int)])
+          WHEN get(bounds, cast(array_position(bounds, x.s) as int) + 1) = x.e AND array_contains(bounds, x.s)
+          THEN filter(bounds, b -> b <= x.s OR b >= x.e)
           ELSE bounds END)""")
 
 
