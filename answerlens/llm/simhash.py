@@ -145,13 +145,19 @@ def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     printed = materialise(fingerprints(rows, "text", "fp").select("doc_id", "fp"), "fingerprints")
-    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL")
-    same_id = printed.filter("doc_id IS NOT NULL").distinct().join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    repeated = printed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select(F.col("doc_id").alias("a"))
-    bridges = same_id.join(repeated, "a", "left_semi")
-    roots = components(links(nodes, radius).union(bridges))
-    of = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return printed.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("rep IS NOT NULL")
+    known = printed.filter("doc_id IS NOT NULL")
+    repeated = known.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("doc_id")
+    bridges = known.join(repeated, "doc_id", "left_semi").distinct().join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    roots = components(links(nodes.select("fp", "rep"), radius).union(bridges))
+    of = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", "copies", F.coalesce("root", "rep").alias("component_id"))
+    # Fingerprints of over a thousandth of all rows: a thousand of them at most, so they are broadcast, not dealt by key.
+    least = printed.count() / 1000
+    hot = F.broadcast(of.filter(F.col("copies") > least).select("fp", F.col("component_id").alias("hot")))
+    found = printed.join(hot, "fp", "left")
+    common = found.filter("hot IS NOT NULL").select("doc_id", "fp", F.col("hot").alias("component_id"))
+    rare = found.filter("hot IS NULL").select("doc_id", "fp").join(of.filter(F.col("copies") <= least).select("fp", "component_id"), "fp", "left")
+    return common.unionByName(rare.select("doc_id", "fp", "component_id"))
 
 
 def simhash_digest(df: DataFrame) -> DataFrame:
