@@ -19,6 +19,7 @@ from answerlens.llm.shared import free_name, materialise
 
 BITS, SPARE_BITS = 60, 4
 LIMIT_BYTES = 1 << 20
+FEW_HASHES = 100_000  # of cells that overflow: so many are broadcast, more are joined by shuffle
 
 
 def row_hash(doc_id: str, text: str) -> Column:
@@ -74,11 +75,15 @@ def shard(df: DataFrame, limit_bytes: int = LIMIT_BYTES, doc_id: str = "doc_id",
     found = levels.select(F.col("cell").alias("h"), F.explode(F.sequence(F.lit(width), F.lit(BITS))).alias("d")).withColumn("p", F.expr(f"shiftright(h, {BITS} - d)")).join(deep, ["d", "p"])
     single = levels.filter(F.col("bytes") > limit_bytes).select(F.col("cell").alias("h"), F.lit(BITS).alias("d"), F.col("cell").alias("p"), "bytes", "rows")
     of_hash = found.select("h", "d", "p", "bytes", "rows").unionByName(single)
-    deep_map = of_hash.select(F.col("h").alias(h), *_named(name, depth, shard_bytes, shard_rows))
+    deep_map = materialise(of_hash.select(F.col("h").alias(h), *_named(name, depth, shard_bytes, shard_rows)), "shard-deep")
 
     keep = [*taken, size, h]
     plain = rows.withColumn(cell, F.expr(f"shiftright(`{h}`, {BITS - width})")).join(directory, cell).select(*keep, name, depth, shard_bytes, shard_rows)
-    split = rows.join(deep_map, h).select(*keep, name, depth, shard_bytes, shard_rows)
+    out = [*taken, size, name, depth, shard_bytes, shard_rows]
+    hashes = deep_map.count()
+    if not hashes:  # no cell overflows
+        return plain.select(*out)
+    split = rows.join(F.broadcast(deep_map) if hashes <= FEW_HASHES else deep_map, h).select(*keep, name, depth, shard_bytes, shard_rows)
     pages = (F.col(shard_bytes) > limit_bytes) & (F.col(shard_rows) > 1)
     each = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.greatest(F.lit(1), F.col(size)))).cast("long")
     left = F.least(each, F.col(copies) - F.col(page) * each)
@@ -88,7 +93,6 @@ def shard(df: DataFrame, limit_bytes: int = LIMIT_BYTES, doc_id: str = "doc_id",
         .withColumns({name: F.concat(name, F.lit("+"), F.col(page).cast("string")), shard_rows: left, shard_bytes: left * F.col(size)})
         .withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(shard_rows))))
     )
-    out = [*taken, size, name, depth, shard_bytes, shard_rows]
     return plain.select(*out).unionByName(split.filter(~pages).select(*out)).unionByName(paged.select(*out))
 
 
