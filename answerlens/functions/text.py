@@ -59,7 +59,7 @@ def mime_type(kind: Column, name: Column) -> Column:
 
 def decode_text(content: Column) -> Column:
     """UTF-8 text without a byte order mark."""
-    return F.regexp_replace(F.decode(content, "UTF-8"), "^﻿", "")
+    return F.regexp_replace(content.cast("string"), "^﻿", "")
 
 
 def join_lines(lines: Column) -> Column:
