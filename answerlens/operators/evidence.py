@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +79,43 @@ def reciprocal_rank(ranks: DataFrame, k: int, by: str = "group") -> DataFrame:
     first = ranks.groupBy("id", by).agg(F.min("rank").alias("rank"))
     got = F.when(F.col("rank") <= k, 1 / F.col("rank")).otherwise(0.0)
     return first.groupBy(by).agg(F.count("*").alias("n"), half_even(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0)))).alias("hit"), half_even(F.avg(got)).alias("mrr"))
+
+
+def quote_hits(documents: DataFrame, quotes: DataFrame, doc_id: str, text: str, quote_id: str, quote: str, block_bytes: int = 4 << 20) -> DataFrame:
+    """(doc_id, quote_id) where a document holds a quote, white space aside.
+
+    All quotes of a block are looked for in one pass over a text (Aho-Corasick), so the cost of a text doesn't grow with
+    the number of quotes. The bytes of the quotes are summed first; more than a block's worth takes several passes.
+    """
+    wanted = quotes.select(F.col(quote_id).cast("long").alias("q"), squeezed(F.col(quote)).alias("t")).filter("t <> ''")
+    total = wanted.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    rows = documents.select(F.col(doc_id).cast("long").alias("d"), squeezed(F.col(text)).alias("t"))
+    out = None
+    for block in range(blocks):
+        part = [(r.q, r.t) for r in wanted.filter(F.pmod(F.xxhash64("q", "t"), F.lit(blocks)) == block).collect()]
+        found = rows.mapInArrow(_quote_finder(part), "d long, q long")
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("d").alias(doc_id), F.col("q").alias(quote_id))
+
+
+def _quote_finder(quotes: list[tuple[int, str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        of: dict[str, list[int]] = {}
+        for q, t in quotes:
+            of.setdefault(t, []).append(q)
+        automaton = ahocorasick.Automaton()
+        for t, ids in of.items():
+            automaton.add_word(t, ids)
+        automaton.make_automaton()
+        for batch in batches:
+            docs, found = [], []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits = sorted({q for _, ids in automaton.iter(t) for q in ids}) if t and of else []
+                docs += [d] * len(hits)
+                found += hits
+            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["d", "q"])
+
+    return run
