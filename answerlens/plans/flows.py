@@ -9,11 +9,12 @@ from pyspark.sql.types import StructType
 from answerlens.operators import answer as A
 from answerlens.operators import checks as C
 from answerlens.operators import chunking, ingest
+from answerlens.operators import goldgen as G
 from answerlens.operators.evidence import curve, unit_ranks
 from answerlens.operators.goldset import approved, document_problems
 from answerlens.operators.scoring import score
 from answerlens.operators.vectors import gate, hit_list, retrieve
-from answerlens.providers import Embedder, Generator, Judge, embedded, generated, judged
+from answerlens.providers import Drafter, Embedder, Generator, Judge, drafted, embedded, generated, judged
 from answerlens.schemas import CHUNKS, DOCUMENTS, RECORDS
 from answerlens.settings import Settings
 from answerlens.sources.files import scan, text_pages
@@ -102,3 +103,36 @@ def retrieval_curve(items: DataFrame, catalog: ingest.Catalog, embedder: Embedde
     vectors = embedded(questions, "question", embedder)
     hits = retrieve(vectors, with_chunk_ids(catalog.chunks()), catalog.documents(), settings.index_version, max(ks)).join(questions.select("question_id", "id"), "question_id")
     return curve(unit_ranks(gold, hits), ks)
+
+
+def draft_gold(pages: DataFrame, drafter: Drafter, n_quant: int, n_qual: int, n_traps: int, seed: int = 0, window_tokens: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects): draft gold items from pages (document_id, title, page, text), all mechanically checked.
+
+    Windows are picked evenly over the corpus, drafted, and checked against their own text; traps are accepted answers
+    made wrong. Every item is a draft for a person to approve.
+    """
+    made = materialise(chunking.split_chunks(pages, window_tokens, 0), "windows")
+    windows = made.select(F.concat_ws(":", "document_id", F.lpad(F.col("ord").cast("string"), 8, "0")).alias("window"), "document_id", F.when(F.col("page_start") == F.col("page_end"), F.col("page_start")).alias("page"), F.col("content").alias("text"))
+
+    def picked(n: int, turn: int) -> DataFrame:
+        """Candidates in the order they are tried: eight times as many as wanted."""
+        return materialise(G.stratified(windows, n, "window", "window", seed + turn).filter(F.col("pick") <= n * 8), "picked")
+
+    def accepted(checked: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        done = materialise(checked, "drafts")
+        return G.first_passing(done, "pick", F.col("reason").isNull(), n), done.filter("reason IS NOT NULL").select("window", "reason")
+
+    evidence = lambda quote: F.array(F.struct("document_id", F.col("page").cast("int").alias("page"), quote.alias("quote")))
+    quant, no_quant = accepted(G.check_quant(drafted(picked(n_quant, 0), drafter, "quant", "text")), n_quant)
+    quant = materialise(quant, "quant")
+    literal, user = (quant.select(F.concat("window", F.lit(f"-{v}")).alias("id"), F.lit("quant").alias("type"), F.lit(v).alias("variant"), F.col(f"question_{v}").alias("question"), "answer", evidence(F.col("quote")).alias("evidence")) for v in ("literal", "user"))
+    traps = G.with_traps(quant).select("window", "pick", "wrong", "token", "answer")
+    asked = drafted(traps.drop("answer"), drafter, "trap", "wrong").select("window", "pick", "token", "question").join(traps.select("window", "answer"), "window")
+    checked, no_trap = accepted(G.check_trap(asked), n_traps)
+    trap = checked.select(F.concat("window", F.lit("-trap")).alias("id"), F.lit("false_premise").alias("type"), "question", F.lit("answered").alias("expected_status"), F.create_map(*[F.lit(x) for x in ("2", "corrects the premise", "1", "declines", "0", "accepts the premise")]).alias("scoring"))
+    qual, no_qual = accepted(G.check_qual(drafted(picked(n_qual, 1), drafter, "qual", "text")), n_qual)
+    points = F.transform("must_include", lambda p: F.struct(p["point"].alias("point"), F.array(p["point"]).alias("facts"), F.array(F.struct(F.col("document_id"), F.col("page").cast("int").alias("page"), p["quote"].alias("quote"))).alias("evidence")))
+    qual = qual.select(F.concat("window", F.lit("-qual")).alias("id"), F.lit("qual").alias("type"), "question", points.alias("must_include"))
+    items = literal.unionByName(user).unionByName(trap, allowMissingColumns=True).unionByName(qual, allowMissingColumns=True)
+    rejects = no_quant.unionByName(no_trap).unionByName(no_qual)
+    return materialise(items.withColumns({"status": F.lit("draft"), "provenance": F.lit("generated")}), "gold-drafts"), rejects

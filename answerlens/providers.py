@@ -145,3 +145,43 @@ def judged(requests: DataFrame, judge: Judge, repeats: int = 2) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     return requests.select("id", "repeat", "answer", "sources", "checks").mapInArrow(run, "id string, repeat int, check_id string, kind string, target string, vote int, p double, probabilities map<string,double>, tokens long")
+
+
+class Drafter(Protocol):
+    def draft(self, kind: str, text: str) -> dict[str, object]:
+        """For 'quant': question_literal, question_user, answer, quote; for 'trap': question; for 'qual': question and
+        must_include of (point, quote); or skip with a reason."""
+
+
+class SentenceDrafter:
+    """Questions about a sentence with a number in it, by a fixed pattern."""
+
+    def draft(self, kind: str, text: str) -> dict[str, object]:
+        parts = [s.strip() for s in re.split(r"(?<=[.?!])\s+", text) if len(s.split()) > 3]
+        if kind == "trap":
+            return {"question": f"Is it right that it is {text}?"}
+        if kind == "qual":
+            return {"question": "What does the passage say?", "must_include": [{"point": s, "quote": s} for s in parts[:3]]} if len(parts) > 1 else {"skip": "too short"}
+        for s in parts:
+            if m := re.search(r"\d[\d,.]*\d|\d", s):
+                topic = " ".join(re.findall(r"[^\W\d]+", s)[:4])
+                return {"question_literal": f"What number belongs to: {topic}?", "question_user": f"How many, about {topic}?", "answer": m[0], "quote": s}
+        return {"skip": "no number"}
+
+
+DRAFT = "skip string, question string, question_literal string, question_user string, answer string, quote string, must_include array<struct<point:string,quote:string>>"
+
+
+def drafted(df: DataFrame, drafter: Drafter, kind: str, text: str) -> DataFrame:
+    """df with the columns of DRAFT: what the drafter makes of each text; fields it doesn't give are null."""
+    fields = StructType.fromDDL(DRAFT)
+    at = df.columns.index(text)
+    kinds = {"must_include": pa.list_(pa.struct([("point", pa.string()), ("quote", pa.string())]))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [retried(lambda t=t: drafter.draft(kind, t or ""), attempts=3) for t in b.column(at).to_pylist()]
+            new = [pa.array([m.get(f.name) for m in made], kinds.get(f.name, pa.string())) for f in fields]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *fields.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *fields.fields]))

@@ -158,3 +158,20 @@ def test_windows(spark):
     assert sorted(r.n for r in windowed(df, "ts", "v", ["k"], "10 minutes").collect()) == [1, 2]
     assert windowed(df, "ts", "v", ["k"], "10 minutes", "5 minutes").count() == 4
     assert sorted(r.n for r in sessions(df, "ts", ["k"], "5 minutes").collect()) == [1, 2]
+
+
+def test_draft_gold(spark):
+    from answerlens.operators.goldset import validate
+    from answerlens.plans.flows import draft_gold
+    from answerlens.providers import SentenceDrafter
+
+    text = "The office opens at {} on weekdays. Visitors need a pass from the front desk. Bags are checked twice."
+    pages = spark.createDataFrame([(f"d{i}", "T", None, text.format(10 + i) if i % 4 else "No digits in this one at all.") for i in range(12)], "document_id string, title string, page int, text string")
+    items, rejects = draft_gold(pages, SentenceDrafter(), 3, 2, 2, seed=1, window_tokens=60)
+    kinds = {r.type: r["count"] for r in items.groupBy("type").count().collect()}
+    assert kinds == {"quant": 6, "false_premise": 2, "qual": 2}
+    assert items.filter("status <> 'draft'").count() == 0 and rejects.filter("reason = 'skipped'").count() > 0
+    full = items.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("must_not", "array<string>"), ("keywords", "array<string>")) if c not in items.columns])
+    assert validate(full).filter("size(errors) > 0").count() == 0
+    again, _ = draft_gold(pages, SentenceDrafter(), 3, 2, 2, seed=1, window_tokens=60)
+    assert sorted(r.id for r in again.collect()) == sorted(r.id for r in items.collect())
