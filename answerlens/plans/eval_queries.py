@@ -352,9 +352,10 @@ def auc(spark, d):
     return K.auc(judged_labels(spark, d), ["kind"])
 
 
-AUC = LABELLED + """
-SELECT a.kind, count(DISTINCT a.i) AS positives, count(DISTINCT b.i) AS negatives, round_even(avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END), 4) AS auc
-FROM (SELECT *, row_number() OVER () AS i FROM l WHERE human) a JOIN (SELECT *, row_number() OVER () AS i FROM l WHERE NOT human) b ON a.kind = b.kind GROUP BY a.kind"""
+AUC = LABELLED + """,
+k AS (SELECT kind, count(*) FILTER (human) AS positives, count(*) FILTER (NOT human) AS negatives FROM l GROUP BY kind),
+a AS (SELECT a.kind, avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) AS auc FROM l a JOIN l b ON a.kind = b.kind AND a.human AND NOT b.human GROUP BY a.kind)
+SELECT kind, positives, negatives, round_even(auc, 4) AS auc FROM k LEFT JOIN a USING (kind)"""
 
 
 def stratified_pick(spark, d):
