@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerlens.llm.shared import as_bytes, cover, extended, free_name, mix, rolling
+from answerlens.llm.shared import arrow_map, as_bytes, cover, extended, free_name, mix, rolling
 
 WINDOW = 13
 #: A-Z to a-z; digits, a-z and bytes of non-ASCII characters stay; all else is a gap
@@ -145,7 +145,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
                     new = [pa.array([np.packbits(h).tobytes() if h.any() else None for _, h, _ in found], pa.binary()), pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*batch.schema.names[:width], *(names if final else ("__hit", "__items"))])
 
-        out = out.mapInArrow(run, last if final else middle)
+        out = arrow_map(out, run, last if final else middle)
     return out
 
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlens.llm.shared import materialise
+from answerlens.llm.shared import arrow_map, materialise
 
 CHUNK = "chunk_id long, n_bytes long, blob binary"
 MESSAGE = "shard int, chunk_id long, body binary"
@@ -110,7 +110,7 @@ def pack(df: DataFrame, text: str, chunk_bytes: int) -> DataFrame:
         if held:
             yield out()
 
-    return materialise(df.mapInArrow(run, CHUNK), "chunks", compression="uncompressed")
+    return materialise(arrow_map(df, run, CHUNK), "chunks", compression="uncompressed")
 
 
 def unpack(blob: bytes) -> pa.RecordBatch:
@@ -249,8 +249,9 @@ def repeated_earlier(df: DataFrame, doc_id: str, text: str, cut: Cut, finish: Fi
         return told.groupBy("chunk_id").agg(F.collect_list(F.struct("shard", "body")).alias(name))
 
     plain = chunks.select("chunk_id", "blob")
-    first = materialise(answers(plain.mapInArrow(ask_sketch, MESSAGE), tell_sketch, "first"), "sketch-answers")
+    first = materialise(answers(arrow_map(plain, ask_sketch, MESSAGE), tell_sketch, "first"), "sketch-answers")
     both = plain.join(first.hint("shuffle_hash"), "chunk_id", "left")
-    second = materialise(answers(both.mapInArrow(ask_exact, MESSAGE), tell_exact, "second"), "exact-answers")
+    second = materialise(answers(arrow_map(both, ask_exact, MESSAGE), tell_exact, "second"), "exact-answers")
     replies = first.join(second, "chunk_id", "full")
-    return plain.join(replies.hint("shuffle_hash"), "chunk_id", "left").select("chunk_id", "blob", "first", "second").mapInArrow(last, schema)
+    told = plain.join(replies.hint("shuffle_hash"), "chunk_id", "left").select("chunk_id", "blob", "first", "second")
+    return arrow_map(told, last, schema)

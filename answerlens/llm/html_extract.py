@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlens.llm.shared import extended, free_name
+from answerlens.llm.shared import arrow_map, extended, free_name
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z) | <(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*+)> | <[a-zA-Z/!?][^>]*(?:>|\Z) | (?P<text>[^<]+|<)""",
@@ -266,4 +266,4 @@ def extract_html(df: DataFrame, page: str = "html", keep: tuple[str, ...] | None
             new = [pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[*batch.schema.names[: len(kept)], text, n_chars])
 
-    return source.mapInArrow(run, extended(df.select(*kept), (text, "string"), (n_chars, "long")))
+    return arrow_map(source, run, extended(df.select(*kept), (text, "string"), (n_chars, "long")))

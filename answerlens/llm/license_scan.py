@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.llm.decontaminate import Vocabulary, words_of
-from answerlens.llm.shared import as_bytes, extended, free_name
+from answerlens.llm.shared import arrow_map, as_bytes, extended, free_name
 
 LEAST_DICE = 0.8
 
@@ -124,4 +124,4 @@ def license_scan(df: DataFrame, text: str = "text", templates: dict[str, str] |
             new = [pa.array([n for n, _ in found], pa.int64()), pa.array(rows, kind), pa.array(best, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[*batch.schema.names[: len(kept)], *names])
 
-    return source.mapInArrow(run, extended(df.select(*kept), *zip(names, ("long", "array<struct<name:string,dice:double,first_word:long,n_words:long>>", "string"), strict=True)))
+    return arrow_map(source, run, extended(df.select(*kept), *zip(names, ("long", "array<struct<name:string,dice:double,first_word:long,n_words:long>>", "string"), strict=True)))

@@ -8,16 +8,13 @@ read only of ids whose crc32 mod 3 is not 1; scores depend on the text alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from answerlens.llm.shared import extended, free_name
-from answerlens.llm.textstats import NAMES, labelled_sample, taught, unlabelled_sample, with_stats
+from answerlens.llm.textstats import NAMES, labelled_sample, stats_map, taught, unlabelled_sample
 
 BINS, ROUNDS, RATE, DECAY = 16, 300, 0.05, 1e-4
 
@@ -80,19 +77,11 @@ def quality_scores(df: DataFrame, model: Additive, text: str = "text", keep: tup
 
     Null and empty texts are scored as texts without words. Equal texts have equal scores. Empty table: empty result.
     """
-    found, stats = with_stats(df, text, keep)
-    columns = [c for c in found.columns if c != stats]
-    score_name = free_name("score", columns)
-    predicted = free_name("predicted", [*columns, score_name])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, len(NAMES))
-            score = model.score(x)
-            new = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*columns, score_name, predicted])
-
-    return found.mapInArrow(run, extended(found.select(*columns), (score_name, "double"), (predicted, "int")))
+    def scored(x: np.ndarray) -> list[pa.Array]:
+        score = model.score(x)
+        return [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
+
+    return stats_map(df, text, keep, [("score", "double"), ("predicted", "int")], scored)
 
 
 def classifier_digest(documents: DataFrame, labels: DataFrame) -> DataFrame:

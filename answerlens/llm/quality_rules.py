@@ -7,15 +7,13 @@ flattened into numpy arrays of nodes, one row a tree, and score a whole batch le
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from answerlens.llm.shared import extended, free_name
-from answerlens.llm.textstats import NAMES, labelled_sample, with_stats
+from answerlens.llm.textstats import NAMES, labelled_sample, stats_map
 
 #: -1: the score never rises with the statistic
 MONOTONIC = {"symbols_a_word": -1, "dup_line_share": -1, "repeat_share": -1, "upper_share": -1, "top_word": -1}
@@ -121,19 +119,11 @@ def quality_rules(df: DataFrame, model: Forest, text: str = "text", least: float
     empty texts have no words and fail. Repeated rows are judged alike; an empty table gives an empty result. A model
     from no labels, or from labels of one kind, scores all texts alike.
     """
-    found, stats = with_stats(df, text, keep)
-    columns = [c for c in found.columns if c != stats]
-    names: list[str] = []
-    for wanted in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept"):
-        names.append(free_name(wanted, columns + names))
-    kinds = ("long",) * 5 + ("boolean", "double", "boolean")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, len(NAMES))
-            failed = (x[:, 0] < MIN_WORDS) | (100 * x[:, 4] > MOST_REPEATED * x[:, 0])
-            score = np.concatenate([model.score(x[i : i + 2000]) for i in range(0, len(x), 2000)] or [np.zeros(0)])
-            new = [*(pa.array(x[:, j].astype(np.int64)) for j in range(5)), pa.array(failed), pa.array(score), pa.array(~failed & (score >= least))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*columns, *names])
-
-    return found.mapInArrow(run, extended(found.select(*columns), *zip(names, kinds, strict=True)))
+    fields = [*((n, "long") for n in NAMES[:5]), ("base_failed", "boolean"), ("quality_score", "double"), ("kept", "boolean")]
+
+    def judged(x: np.ndarray) -> list[pa.Array]:
+        failed = (x[:, 0] < MIN_WORDS) | (100 * x[:, 4] > MOST_REPEATED * x[:, 0])
+        score = model.score(x)
+        return [*(pa.array(x[:, j].astype(np.int64)) for j in range(5)), pa.array(failed), pa.array(score), pa.array(~failed & (score >= least))]
+
+    return stats_map(df, text, keep, fields, judged)

@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlens.llm.shared import extended, free_name, materialise
+from answerlens.llm.shared import arrow_map, extended, free_name, materialise
 
 SPACE = "▁"
 #: Runs of spaces with the word behind them; a line break is a word of its own. No piece crosses these bounds.
 UNIT = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-MOST_WORDS, LONGEST, SPARE = 300_000, 48, 100_000
+MOST_WORDS, LONGEST, SPARE = 200_000, 48, 50_000
+SLICE = 1000  # texts that a task holds as Python objects at a time
 
 
 class Pieces:
@@ -112,6 +113,16 @@ class Pieces:
         return min((s for _, _, s in self.pieces), default=0.0) - 10.0
 
 
+class Decoder:
+    def __init__(self, pieces: Pieces):
+        self.surfaces = np.array(pieces.surfaces(), object)
+
+    def text(self, ids: np.ndarray) -> str:
+        """Without the space put in front; bytes that are no UTF-8 become U+FFFD."""
+        raw = b"".join(self.surfaces[ids].tolist()) if len(ids) else b""
+        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
 class WordIds(dict):
     """word -> ids as int32 bytes: the broadcast words, and at most SPARE of the others seen last."""
 
@@ -132,16 +143,17 @@ def words_of(text: str | None) -> list[str]:
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, n) of all texts, counted in each batch first."""
+    """(word, n) of all texts, counted in each slice of a batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter[str] = Counter()
-            for t in batch.column(0):
-                counts.update(words_of(t.as_py()))
-            yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+            for start in range(0, batch.num_rows, SLICE):
+                counts: Counter[str] = Counter()
+                for t in batch.column(0).slice(start, SLICE):
+                    counts.update(words_of(t.as_py()))
+                yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
-    return df.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(df.select(text), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int, longest: int) -> DataFrame:
@@ -213,8 +225,9 @@ def back_track() -> Column:
     return F.expr("aggregate(sequence(1, length(word)), array(length(word)), (path, i) -> CASE WHEN path[0] = 0 THEN path ELSE concat(array(best[path[0]].b), path) END)")
 
 
-def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most_words: int = MOST_WORDS, longest: int = LONGEST) -> DataFrame:
-    """One row per input row: its columns, then ids (array<int>) and n_tokens; names that are taken get underscores.
+def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most_words: int = MOST_WORDS, longest: int = LONGEST, decoded: bool = False) -> DataFrame:
+    """One row per input row: its columns, then ids (array<int>), n_tokens and, if wanted, decoded: the text of the ids,
+    made by the same pass; names that are taken get underscores.
 
     Null text: null ids, no tokens. Empty text: empty ids. Texts of any length are encoded whole. Equal texts have equal
     ids. Empty table: empty result.
@@ -228,22 +241,25 @@ def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most
     at = df.columns.index(text)
     ids_name = free_name("ids", df.columns)
     n_name = free_name("n_tokens", [*df.columns, ids_name])
+    new = [(ids_name, "array<int>"), (n_name, "long")] + [(free_name("decoded", [*df.columns, ids_name, n_name]), "string")] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = None
+        ids_of = decoder = None
         for batch in batches:
             ids_of = ids_of or WordIds(*shared.value)
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            decoder = decoder or Decoder(ids_of.pieces)
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
                 texts = [t.as_py() for t in part.column(at)]
                 found = [None if t is None else b"".join(map(ids_of.__getitem__, words_of(t))) for t in texts]
                 n = np.array([len(f or b"") // 4 for f in found], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.append([f is None for f in found], False))
                 values = pa.array(np.frombuffer(b"".join(f or b"" for f in found), np.int32))
                 ids = pa.ListArray.from_arrays(offsets, values)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(n)], names=[*part.schema.names, ids_name, n_name])
+                back = [pa.array([None if f is None else decoder.text(np.frombuffer(f, np.int32)) for f in found], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(n), *back], names=[*part.schema.names, *(c for c, _ in new)])
 
-    return df.mapInArrow(run, extended(df, (ids_name, "array<int>"), (n_name, "long")))
+    return arrow_map(df, run, extended(df, *new))
 
 
 def decode(df: DataFrame, pieces: Pieces | None = None, ids: str = "ids") -> DataFrame:
@@ -251,27 +267,21 @@ def decode(df: DataFrame, pieces: Pieces | None = None, ids: str = "ids") -> Dat
 
     The space put in front is taken off; ids out of range and null ids raise; bytes that are no UTF-8 become U+FFFD.
     """
-    surfaces = np.array((pieces or Pieces.load()).surfaces(), object)
+    decoder = Decoder(pieces or Pieces.load())
     at = df.columns.index(ids)
     name = free_name("decoded", df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.column(at):
-                if not row.is_valid:
-                    out.append(None)
-                    continue
-                raw = b"".join(surfaces[row.values.to_numpy(zero_copy_only=False)].tolist()) if len(row.values) else b""
-                out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+            out = [decoder.text(row.values.to_numpy(zero_copy_only=False)) if row.is_valid else None for row in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, extended(df, (name, "string")))
+    return arrow_map(df, run, extended(df, (name, "string")))
 
 
 def token_digest(df: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decodes): ids joined by commas; whether decoding gives the text back."""
     pieces = pieces or Pieces.load()
-    out = decode(encode(df.select("doc_id", "text"), pieces), pieces)
+    out = encode(df.select("doc_id", "text"), pieces, decoded=True)
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return out.select("doc_id", "n_tokens", F.sha2(joined, 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("decodes"))

@@ -48,6 +48,18 @@ def extended(df: DataFrame, *fields: tuple[str, str]) -> StructType:
     return schema
 
 
+BATCH_BYTES = 8 << 20
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of 8 MB at most (but whole rows): the session's limit is lowered to that."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name)
+    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES or int(now.rstrip("bB")) <= 0:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 class HashCache(dict):
     """word (bytes) -> XXH64, kept for at most `limit` short words so that memory stays bounded."""
 

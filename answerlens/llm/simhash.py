@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlens.llm.shared import as_bytes, extended, free_name, materialise
+from answerlens.llm.shared import arrow_map, as_bytes, extended, free_name, materialise
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 
@@ -52,7 +52,7 @@ def fingerprints(df: DataFrame, text: str, name: str) -> DataFrame:
             prints = np.array([fingerprint(t) for t in as_bytes(batch.column(at))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, extended(df, (name, "long")))
+    return arrow_map(df, run, extended(df, (name, "long")))
 
 
 def masks(radius: int) -> list[int]:
@@ -115,7 +115,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield from linked(held)
 
-    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return arrow_map(dealt, run, "a long, b long").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

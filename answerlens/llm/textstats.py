@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlens.llm.shared import HashCache, as_bytes, cover, extended, free_name, rolling
+from answerlens.llm.shared import HashCache, arrow_map, as_bytes, cover, extended, free_name, rolling
 
 REPEAT_WINDOW = 8
 #: Columns of stats(); the first five are counts, the rest shares of them.
@@ -53,21 +53,35 @@ def stats(text: bytes | None, cache: HashCache) -> tuple[float, ...]:
     return (float(n), float(chars), float(symbols), float(dup), float(repeat), symbols / n, dup / len(lines), repeat / n, chars / n, len(often) / n, int(often.max()) / n, float((lengths <= 3).mean()), upper / max(1, letters), capital / n, marks / n, (counts[46] + counts[63]) / n, counts[33] / n, digits / chars, n / len(lines), float(lengths.max()), 1 - (int(counts[:128].sum()) / len(text)), vowels / max(1, letters))
 
 
-def with_stats(df: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> tuple[DataFrame, str]:
-    """df (or its columns `keep`) with an array of the values of NAMES behind, and that column's name."""
+#: Texts whose results a task holds at a time.
+SLICE = 1000
+
+
+def stats_map(df: DataFrame, text: str, keep: tuple[str, ...] | None, fields: list[tuple[str, str]], results: Callable[[np.ndarray], list[pa.Array]]) -> DataFrame:
+    """df (or its columns `keep`), then results() of the values of NAMES as `fields`; names that are taken get underscores."""
     kept = df.columns if keep is None else list(keep)
-    name = free_name("stats", kept)
+    names: list[str] = []
+    for wanted, _ in fields:
+        names.append(free_name(wanted, kept + names))
     source = df.select(*kept, F.col(text).alias(free_name("whole_text", kept))) if keep is not None else df
     at = len(kept) if keep is not None else df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for batch in batches:
-            values = np.array([stats(t, cache) for t in as_bytes(batch.column(at))], np.float64).reshape(batch.num_rows, len(NAMES))
-            column = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], column], names=[*batch.schema.names[: len(kept)], name])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                values = np.array([stats(t, cache) for t in as_bytes(part.column(at))], np.float64).reshape(part.num_rows, len(NAMES))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *results(values)], names=[*part.schema.names[: len(kept)], *names])
 
-    return source.mapInArrow(run, extended(df.select(*kept), (name, "array<double>"))), name
+    return arrow_map(source, run, extended(df.select(*kept), *zip(names, (k for _, k in fields), strict=True)))
+
+
+def with_stats(df: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> tuple[DataFrame, str]:
+    """df (or its columns `keep`) with an array of the values of NAMES behind, and that column's name."""
+    lists = lambda x: [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))]
+    out = stats_map(df, text, keep, [("stats", "array<double>")], lists)
+    return out, out.columns[-1]
 
 
 def taught(column: str):
