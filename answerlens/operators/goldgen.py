@@ -29,15 +29,21 @@ def stratified(df: DataFrame, k: int, order: str, key: str, seed: int = 0) -> Da
     i = F.floor((F.col("__at") - 1) * k / n)  # the span or a neighbour of it
     end = lambda j: F.bround(j * n / F.lit(float(k)), 0)
     stratum = F.when(F.col("__at") > end(i + 1), i + 1).when(F.col("__at") <= end(i), i - 1).otherwise(i)
-    turn = F.row_number().over(Window.partitionBy("stratum").orderBy(mixed(seed, key), key))
-    spread = rows.withColumn("stratum", stratum.cast("int")).withColumn("__turn", turn)
+    spread = turns(rows.withColumn("stratum", stratum.cast("int")), "stratum", key, seed)
     return spread.withColumn("__pair", F.struct("__turn", "stratum")).transform(lambda x: numbered(x, "__pair", "pick")).drop("__at", "__turn", "__pair")
 
 
 def round_robin(df: DataFrame, by: str, key: str, seed: int = 0) -> DataFrame:
     """df with pick: groups in order take turns, each in its own mixed order."""
-    turn = F.row_number().over(Window.partitionBy(by).orderBy(mixed(seed, key), key))
-    return df.withColumn("__pair", F.struct(turn.alias("turn"), F.col(by).alias("by"))).transform(lambda x: numbered(x, "__pair", "pick")).drop("__pair")
+    spread = turns(df, by, key, seed).withColumn("__pair", F.struct("__turn", by))
+    return numbered(spread, "__pair", "pick").drop("__pair", "__turn")
+
+
+def turns(df: DataFrame, by: str, key: str, seed: int) -> DataFrame:
+    """df with __turn: the place from 1 of a row in its group, in a mixed order; a large group is not one task's."""
+    placed = numbered(df.withColumn("__mixed", F.struct(F.col(by).alias("a"), mixed(seed, key).alias("m"), F.col(key).alias("b"))), "__mixed", "__place")
+    first = placed.groupBy(by).agg(F.min("__place").alias("__first")).withColumnRenamed(by, "__by")
+    return placed.join(first, F.col(by).eqNullSafe(F.col("__by"))).withColumn("__turn", F.col("__place") - F.col("__first") + 1).drop("__mixed", "__place", "__first", "__by")
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:

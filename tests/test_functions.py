@@ -114,3 +114,12 @@ def test_index_percentile(spark):
     assert index_percentile(df, "v", 0.5).first().value == 3.0
     assert index_percentile(df, "v", 0.95, cut=True).first().value == 3.0
     assert one(spark, 0.00005, half_even, "double") == 0.0
+    import random
+
+    r = random.Random(1)
+    values = [r.choice([r.random(), round(r.random(), 2), 0.5]) for _ in range(30_000)]
+    big = spark.createDataFrame([("a", v) for v in values] + [(None, 7.0)], "g string, v double").repartition(5)
+    for q, cut in ((0.0, False), (0.5, False), (0.95, True), (1.0, False)):
+        got = {x.g: x.value for x in index_percentile(big, "v", q, ["g"], cut=cut).collect()}
+        at = q * (len(values) - 1)
+        assert got == {"a": sorted(values)[int(at) if cut else round(at)], None: 7.0}
