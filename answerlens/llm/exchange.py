@@ -34,15 +34,16 @@ MESSAGE_ARROW = pa.schema([("shard", pa.int32()), ("chunk_id", pa.int64()), ("bo
 
 @dataclass
 class Windows:
-    """Windows of one chunk: row of each, hash for the sketch, and the two halves of its exact key."""
+    """Windows of one chunk: row and place in it of each, hash for the sketch, and the two halves of its exact key."""
 
     row: np.ndarray
+    start: np.ndarray
     probe: np.ndarray
     key: np.ndarray
     check: np.ndarray
 
 
-#: (ids, texts as bytes) -> Windows. ids is masked where doc_id is null.
+#: batch -> its windows
 Cut = Callable[[pa.RecordBatch], Windows]
 #: (batch, windows, covered by an earlier document) -> output batch
 Finish = Callable[[pa.RecordBatch, Windows, np.ndarray], pa.RecordBatch]

@@ -38,9 +38,7 @@ def lines_cut(text: str, run_lines: int):
             rows.append(np.full(len(view), i, np.int64))
             starts.append(np.arange(len(view)))
         join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
-        w = Windows(join(rows, np.int64), join(probes, np.uint64), join(keys, np.uint64), join(checks, np.uint32))
-        w.start = join(starts, np.int64)
-        return w
+        return Windows(join(rows, np.int64), join(starts, np.int64), join(probes, np.uint64), join(keys, np.uint64), join(checks, np.uint32))
 
     return cut
 

@@ -23,7 +23,7 @@ def words_cut(text: str, window: int):
 
     def cut(batch: pa.RecordBatch) -> Windows:
         texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
-        rows, hashes = [], []
+        hashes = []
         for t in texts:
             words = t.split() if t else ()
             hashes.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
@@ -35,9 +35,8 @@ def words_cut(text: str, window: int):
         whole = whole[: max(0, len(flat) - window + 1)]
         key = rolling(flat, window, 0x9E3779B97F4A7C55)[whole]
         check = rolling(mix(flat), window, 0xC2B2AE3D27D4EB4F)[whole]
-        w = Windows(rows[: len(whole)][whole], mix(key), key, (check >> np.uint64(32)).astype(np.uint32))
-        w.start = (np.arange(len(whole)) - (end - n[rows])[: len(whole)])[whole] if len(whole) else np.zeros(0, np.int64)
-        return w
+        start = np.arange(len(whole)) - (end - n[rows])[: len(whole)]
+        return Windows(rows[: len(whole)][whole], start[whole], mix(key), key, (check >> np.uint64(32)).astype(np.uint32))
 
     return cut
 
