@@ -17,6 +17,7 @@ White space: each space becomes U+2581 and one is put in front; other characters
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from answerlens.llm.shared import arrow_map, extended, free_name, materialise
 SPACE = "▁"
 #: Runs of spaces with the word behind them; a line break is a word of its own. No piece crosses these bounds.
 UNIT = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-MOST_WORDS, LONGEST, SPARE = 200_000, 48, 50_000
+MOST_WORDS, LONGEST, SPARE = 400_000, 48, 100_000
 SLICE = 1000  # texts that a task holds as Python objects at a time
 
 
@@ -41,6 +42,9 @@ class Pieces:
         self.pieces, self.byte_ids, self.unknown, self.fold = pieces, byte_ids, unknown, fold
         self.width = max((len(p) for p, _, _ in pieces), default=1)
         self.by_text = {p: (i, s) for p, i, s in pieces}
+        #: Every beginning of a piece: its rank (smaller for a better score) if it is a piece itself, else None.
+        self.heads: dict[str, float | None] = {p[:n]: None for p in self.by_text for n in range(1, len(p) + 1)}
+        self.heads |= {p: -s for p, (_, s) in self.by_text.items()}
 
     @staticmethod
     def load(path: str | None = None) -> Pieces:
@@ -61,7 +65,7 @@ class Pieces:
             raise ValueError(f"pieces that cross word bounds: {bad[:3]}")
         return Pieces(pieces, [i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE], model.trainer_spec.unk_id, "merges" if model.trainer_spec.model_type == pb.TrainerSpec.BPE else "viterbi")
 
-    def surfaces(self) -> list[bytes | int]:
+    def surfaces(self) -> list[bytes]:
         """By id: the bytes of a piece."""
         out = [b""] * (1 + max([self.unknown, *self.byte_ids, *(i for _, i, _ in self.pieces)]))
         out[self.unknown] = " ⁇ ".encode()
@@ -78,20 +82,29 @@ class Pieces:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, by the fold of this model over all edges of its lattice."""
-        n, width, known = len(word), self.width, self.by_text
-        edges = [(s, e, known[p]) for s in range(n) for e in range(s + 2, min(n, s + width) + 1) if (p := word[s:e]) in known]
+        n, known, heads = len(word), self.by_text, self.heads.get
+        edges = []
+        for s in range(n - 1):
+            for e in range(s + 2, n + 1):
+                rank = heads(word[s:e], False)
+                if rank is False:
+                    break
+                if rank is not None:
+                    edges.append((rank, s, e))
         after = list(range(1, n + 2))
         if self.fold == "merges":
-            open_at = [True] * (n + 1)
-            for s, e, _ in sorted(edges, key=lambda x: (-x[2][1], x[0])):
-                if open_at[s] and (m := after[s]) < e and after[m] == e:
+            edges.sort()
+            joined: set[int] = set()
+            for _, s, e in edges:
+                m = after[s]
+                if m < e and after[m] == e and s not in joined:
                     after[s] = e
-                    open_at[m] = False
+                    joined.add(m)
         else:
             best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
             ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-            for s, e, (_, score) in edges:
-                ends[e].append((s, score))
+            for _, s, e in edges:
+                ends[e].append((s, known[word[s:e]][1]))
             floor = self.unknown_score()
             for e in range(1, n + 1):
                 c = known.get(word[e - 1])
@@ -115,11 +128,16 @@ class Pieces:
 
 class Decoder:
     def __init__(self, pieces: Pieces):
-        self.surfaces = np.array(pieces.surfaces(), object)
+        surfaces = pieces.surfaces()
+        self.bytes = np.frombuffer(b"".join(surfaces), np.uint8)
+        self.size = np.array([len(x) for x in surfaces])
+        self.start = np.cumsum(self.size) - self.size
 
     def text(self, ids: np.ndarray) -> str:
         """Without the space put in front; bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join(self.surfaces[ids].tolist()) if len(ids) else b""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        raw = self.bytes[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1])].tobytes() if len(ids) else b""
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
@@ -128,10 +146,10 @@ class WordIds(dict):
 
     def __init__(self, known: dict[str, bytes], pieces: Pieces):
         super().__init__(known)
-        self.pieces, self.spare = pieces, 0
+        self.pieces, self.spare = pieces, 0  # a worker keeps the broadcast value, and so its spare words, from task to task
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.pieces.encode_word(word), np.int32).tobytes()
+        ids = array("i", self.pieces.encode_word(word)).tobytes()
         if self.spare < SPARE and len(word) <= 40:
             self.spare += 1
             self[word] = ids
@@ -236,17 +254,17 @@ def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most
     spark = df.sparkSession
     counts = materialise(word_counts(df, text), "word-counts")
     found = encode_words(frequent_words(counts, most_words, longest), pieces).toArrow()
-    known = {w: np.array(i, np.int32).tobytes() for w, i in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast((known, pieces))
+    known = {w: array("i", i).tobytes() for w, i in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)}
+    shared = spark.sparkContext.broadcast(WordIds(known, pieces))
     at = df.columns.index(text)
     ids_name = free_name("ids", df.columns)
     n_name = free_name("n_tokens", [*df.columns, ids_name])
     new = [(ids_name, "array<int>"), (n_name, "long")] + [(free_name("decoded", [*df.columns, ids_name, n_name]), "string")] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = decoder = None
+        decoder = None
         for batch in batches:
-            ids_of = ids_of or WordIds(*shared.value)
+            ids_of = shared.value
             decoder = decoder or Decoder(ids_of.pieces)
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
