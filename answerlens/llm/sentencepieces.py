@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,17 +142,17 @@ class Decoder:
 
 
 class WordIds(dict):
-    """word -> ids as int32 bytes: the broadcast words, and at most SPARE of the others seen last."""
+    """key_of(word) -> ids as int32 bytes: the broadcast words, and at most SPARE of the others."""
 
-    def __init__(self, known: dict[str, bytes], pieces: Pieces):
+    def __init__(self, known: Iterable[tuple[str, bytes]], pieces: Pieces):
         super().__init__(known)
         self.pieces, self.spare = pieces, 0  # a worker keeps the broadcast value, and so its spare words, from task to task
 
-    def __missing__(self, word: str) -> bytes:
-        ids = array("i", self.pieces.encode_word(word)).tobytes()
-        if self.spare < SPARE and len(word) <= 40:
+    def __missing__(self, key: str) -> bytes:
+        ids = array("i", self.pieces.encode_word(word_of(key))).tobytes()
+        if self.spare < SPARE and len(key) <= 40:
             self.spare += 1
-            self[word] = ids
+            self[key] = ids
         return ids
 
 
@@ -160,6 +160,35 @@ def words_of(text: str | None) -> list[str]:
     return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+def key_of(word: str) -> str:
+    """How a word is kept: one with a single space in front without it, any other behind a NUL."""
+    return word[1:] if len(word) > 1 and word[0] == SPACE and word[1] != SPACE else "\0" + word
+
+
+def word_of(key: str) -> str:
+    return key[1:] if key[0] == "\0" else SPACE + key
+
+
+def keys_of(text: str | None) -> list[str]:
+    """key_of() of words_of(text), without a search for words where single spaces part them."""
+    if not text:
+        return []
+    if SPACE in text or "\0" in text:
+        return list(map(key_of, words_of(text))) if "\0" not in text else ["\0" + w for w in words_of(text)]
+    out: list[str] = []
+    for i, line in enumerate(text.split("\n")):
+        if i:
+            out.append("\0\n")
+        if not line or "  " in line or line[0] == " " or line[-1] == " ":
+            out += map(key_of, UNIT.findall(SPACE * (i == 0) + line.replace(" ", SPACE)))
+        else:
+            parts = line.split(" ")
+            if i:
+                parts[0] = "\0" + parts[0]
+            out += parts
+    return out
+
+
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """(word, n) of all texts, counted in each slice of a batch first."""
 
@@ -168,8 +197,8 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
             for start in range(0, batch.num_rows, SLICE):
                 counts: Counter[str] = Counter()
                 for t in batch.column(0).slice(start, SLICE):
-                    counts.update(words_of(t.as_py()))
-                yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+                    counts.update(keys_of(t.as_py()))
+                yield pa.record_batch([pa.array(map(word_of, counts), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     return arrow_map(df.select(text), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -254,7 +283,7 @@ def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most
     spark = df.sparkSession
     counts = materialise(word_counts(df, text), "word-counts")
     found = encode_words(frequent_words(counts, most_words, longest), pieces).toArrow()
-    known = {w: array("i", i).tobytes() for w, i in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)}
+    known = ((key_of(w), array("i", i).tobytes()) for w, i in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     shared = spark.sparkContext.broadcast(WordIds(known, pieces))
     at = df.columns.index(text)
     ids_name = free_name("ids", df.columns)
@@ -269,7 +298,7 @@ def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
                 texts = [t.as_py() for t in part.column(at)]
-                found = [None if t is None else b"".join(map(ids_of.__getitem__, words_of(t))) for t in texts]
+                found = [None if t is None else b"".join(map(ids_of.__getitem__, keys_of(t))) for t in texts]
                 n = np.array([len(f or b"") // 4 for f in found], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.append([f is None for f in found], False))
                 values = pa.array(np.frombuffer(b"".join(f or b"" for f in found), np.int32))

@@ -26,10 +26,11 @@ def made(seed, n):
 
 
 def test_words_in_the_task_match_the_library(library, pieces):
-    from answerlens.llm.sentencepieces import words_of
+    from answerlens.llm.sentencepieces import keys_of, word_of, words_of
 
     for t in made(1, 3000) + ["a" * 5000, "-" * 77, "x" + "e" * 300]:
         assert [i for w in words_of(t) for i in pieces.encode_word(w)] == library.encode(t), t
+        assert list(map(word_of, keys_of(t))) == words_of(t)
 
 
 def test_corpus_matches_the_library(spark, library, pieces):
