@@ -12,12 +12,12 @@ written to the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.llm.shared import arrow_map, as_bytes, extended, free_name, materialise
@@ -145,11 +145,19 @@ def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     printed = materialise(fingerprints(rows, "text", "fp").select("doc_id", "fp"), "fingerprints")
-    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("rep IS NOT NULL")
+    return grouped(printed, lambda nodes: links(nodes.select("fp", "rep"), radius))
+
+
+def grouped(printed: DataFrame, link: Callable[[DataFrame], DataFrame], *more: Column) -> DataFrame:
+    """(doc_id, fp, component_id) per row of printed (doc_id, fp), as in simhash_groups.
+
+    link makes (a, b) links of the nodes (fp, rep, copies and the aggregates `more`): rep is the smallest doc_id of an fp.
+    """
+    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *more).filter("rep IS NOT NULL")
     known = printed.filter("doc_id IS NOT NULL")
     repeated = known.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x <> y").select("doc_id")
     bridges = known.join(repeated, "doc_id", "left_semi").distinct().join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    roots = components(links(nodes.select("fp", "rep"), radius).union(bridges))
+    roots = components(link(nodes).union(bridges))
     of = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", "copies", F.coalesce("root", "rep").alias("component_id"))
     # Fingerprints of over a thousandth of all rows: a thousand of them at most, so they are broadcast, not dealt by key.
     least = printed.count() / 1000
@@ -170,9 +178,14 @@ def simhash_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
 
     Rows without doc_id stay, all of them.
     """
-    firsts = simhash_groups(df, doc_id, text, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(free_name("keep_id", df.columns))).distinct()
-    name = firsts.columns[0]
-    kept = df.join(firsts, df[doc_id].cast("long") == firsts[name], "left_semi")
+    return firsts(df, simhash_groups(df, doc_id, text, radius), doc_id)
+
+
+def firsts(df: DataFrame, groups: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of df that simhash_dedup keeps, given the groups."""
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(free_name("keep_id", df.columns))).distinct()
+    name = keep.columns[0]
+    kept = df.join(keep, df[doc_id].cast("long") == keep[name], "left_semi")
     rest = [c for c in df.columns if c != doc_id]
     row = free_name("row", df.columns)
     one = kept.groupBy(doc_id).agg(F.min(F.struct(*rest)).alias(row)).select(*[doc_id if c == doc_id else F.col(f"{row}.{c}") for c in df.columns])
