@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from answerlens.functions.numbers import perturb
 from answerlens.functions.text import holds, squeezed, word_overlap
+from answerlens.operators.evidence import quote_hits
 from answerlens.storage import materialise
 
 BATCH = 8
@@ -117,16 +118,15 @@ def check_qual(drafts: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("__full").withColumn("reason", first_rejection((F.coalesce(F.col("skip"), F.lit("")) != "", "skipped"), (blank("question") | (F.size("must_include") < 2), "fewer than two points found in the source")))
 
 
-def absent_keywords(candidates: DataFrame, texts: DataFrame, key: str, keywords: str = "keywords", text: str = "text") -> DataFrame:
+def absent_keywords(candidates: DataFrame, texts: DataFrame, key: str, keywords: str = "keywords", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Candidates (key, keywords) none of whose keywords stands in any text.
 
-    Keywords are few and go to every task as one array, of a checked number; each text is squeezed once.
+    Distinct keywords are looked for by quote_hits, in blocks of a measured size: their number isn't bounded.
     """
     words = candidates.select(key, F.explode(keywords).alias("w")).select(key, squeezed(F.col("w")).alias("w")).filter("w <> ''")
-    distinct = [r.w for r in words.select("w").distinct().limit(10_001).collect()]
-    if len(distinct) > 10_000:
-        raise ValueError("more than 10,000 keywords: check candidates in parts")
-    seen = texts.select(squeezed(F.col(text)).alias("t")).select(F.explode(F.filter(F.array(*map(F.lit, distinct)) if distinct else F.array().cast("array<string>"), lambda w: F.col("t").contains(w))).alias("w")).distinct()
+    distinct = materialise(words.select("w").distinct().select(F.monotonically_increasing_id().alias("q"), "w"), "keywords")
+    hits = quote_hits(texts.select(F.lit(0).alias("d"), F.col(text).alias("t")), distinct, "d", "t", "q", "w", block_bytes)
+    seen = distinct.join(hits.select("q").distinct(), "q", "left_semi").select("w")
     hit = words.join(seen, "w").select(key).distinct()
     return candidates.filter(F.size(keywords) > 0).join(hit, key, "left_anti")
 

@@ -317,3 +317,10 @@ def test_generation(spark):
     assert sorted(r.id for r in G.capped(df, "x", F.col("id") % 2 == 0, 3).collect()) == sorted([0, 2, 4, *range(1, 23, 2)])
     assert [r.id for r in G.first_passing(df, "x", F.col("id") % 5 == 4, 2).collect()] == [4, 9]
     assert G.batches_needed(df, "x", F.col("id") % 5 == 4, 2).count() == 16
+
+
+def test_absent_keywords_of_any_number(spark):
+    cands = spark.range(10_500).select("id", F.array(F.concat(F.lit("word"), F.col("id").cast("string"), F.lit("x"))).alias("keywords"))
+    texts = spark.createDataFrame([("a word7x word10 499x",), (None,), ("",)], "text string")
+    for block in (4 << 20, 30_000):
+        assert sorted(r.id for r in G.absent_keywords(cands, texts, "id", block_bytes=block).collect()) == [i for i in range(10_500) if i not in (7, 10_499)]
