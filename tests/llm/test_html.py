@@ -41,3 +41,65 @@ def test_rows(spark):
     assert out.columns == ["page_id", "url", "html", "TEXT", "text_", "n_chars"]
     assert sorted(r.n_chars for r in out.collect()) == [0, 0, 0, len(P), len(P) + 1]
     assert extract_html(df.limit(0)).count() == 0
+
+
+def test_pages_without_an_article_are_empty():
+    for names in ("comments", "comment-list", "cookie-consent", "site-footer", "main-nav", "newsletter signup"):
+        assert main_text(f'<section class="{names}"><p>{P}</p><p>{Q}</p></section>') == ""
+    assert main_text(f'<article class="comment"><p>{P}</p></article>') == ""
+    assert main_text(f"<form><p>{P}</p></form>") == ""
+
+
+def test_one_listed_word_among_others_is_weighed():
+    for attrs in ('id="social-policy-report"', 'class="search-engine-history"', 'class="content sidebar-right"', 'class="page-with-sidebar"', 'class="layout-sidebar-left"'):
+        page = f'<body><div {attrs}><h1>T</h1><p>{P}</p><p>{Q}</p></div><div class="sidebar-tags-cloud"><p>{P[:40]}</p></div></body>'
+        assert main_text(page) == f"T {P} {Q}"
+    assert main_text(f'<form action=x><div class="main"><h1>T</h1><p>{P}</p></div></form>') == f"T {P}"
+
+
+def test_short_closing_blocks_headings_and_bare_text_stay():
+    assert main_text(f"<div class=wrap><div class=a><p>{P}</p><p>{Q}</p></div><div class=c><p>Short closing words, last.</p></div></div>") == f"{P} {Q} Short closing words, last."
+    assert main_text(f"<body><div><h3>Small head</h3><div><p>{P}</p><p>{Q}</p></div>Bare text beside.</div></body>") == f"Small head {P} {Q} Bare text beside."
+    assert main_text(f"<main><article><p>{P}</p></article><article><h2>Two</h2><p>{Q}</p></article></main>") == f"{P} Two {Q}"
+
+
+def test_time_is_linear():
+    import time
+
+    pages = ["<b>{}</b>", "<p>x", "<div><li>", "<li><ul>", "<b><p>x</p>", "<table><tr><td>", "<a b='", "<i></b>"]
+    for unit in pages:
+        page = unit.replace("{}", "") * 8000 + P
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 1.5, unit
+    deep = "<b>" * 8000 + "</i>" * 8000 + "<div></div>" * 8000 + P
+    began = time.process_time()
+    assert main_text(deep) == P
+    assert time.process_time() - began < 1.5
+    nested = "<li><ul>" + "<div>" * 8000 + "<li>x</li>" * 8000 + P
+    began = time.process_time()
+    main_text(nested)
+    assert time.process_time() - began < 1.5
+
+
+def test_planted_articles():
+    """Pages of known blocks: every block of the article comes out, and nothing of the rest."""
+    import random
+
+    rng = random.Random(3)
+    says = lambda n: " ".join(rng.choice(["word", "other,", "third", "and", "so", "on"]) + str(rng.randrange(999)) for _ in range(n))
+    for _ in range(300):
+        wanted, parts = [], []
+        for _ in range(rng.randrange(2, 9)):
+            t = says(rng.randrange(12, 120))
+            kind = rng.choice(["p", "p", "p", "h2", "blockquote", "pre", "div", "ul", "table"])
+            wanted.append(t)
+            parts.append({"ul": f"<ul><li>{t}</ul>", "table": f"<table><tr><td>{t}</table>", "div": f"<div class=inner><p>{t}</div>"}.get(kind, f"<{kind}>{t}</{kind}>"))
+            if rng.random() < 0.3:
+                parts.append(rng.choice([f"<aside>{says(30)}</aside>", f'<div class="ad-slot"><p>{says(60)}</p></div>', f"<script>{says(9)}</script>", f"<form><p>{says(20)}</p></form>", f'<div class="share-buttons">{says(5)}</div>', f"<style>p{{}}</style><nav>{says(9)}</nav>"]))
+        inside = "".join(parts)
+        home = rng.choice(["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div><div class="post-text">{}</div></div>', '<section id="story">{}</section>'])
+        links = "".join(f"<li><a href={i}>{says(3)}</a>" for i in range(8))
+        after = f'<section class="comments">{"".join(f"<article><p>{says(40)}</p></article>" for _ in range(4))}</section>' if rng.random() < 0.5 else ""
+        page = f'<html><head><title>{says(4)}</title></head><body><header><h1>{says(3)}</h1></header><nav><ul>{links}</ul></nav>{home.format(inside)}<div id="sidebar"><p>{says(80)}</p></div>{after}<div class="cookie-notice">{says(30)}</div><footer><p>{says(30)}</p></footer></body></html>'
+        assert main_text(page) == " ".join(wanted)
