@@ -1,16 +1,19 @@
-"""Which windows of a document stand in an earlier document: packed exchanges between chunks and hash shards.
+"""Which windows of a document stand in an earlier place: packed exchanges between chunks and hash shards.
 
-Documents are packed into chunks (one table row each, an Arrow batch of about `chunk_bytes`), written to the shared
-folder so that every pass sees the same chunks even after an executor is lost. Two question-and-answer rounds follow:
+Documents are packed into chunks (one table row each), written to the shared folder so that every pass sees the same chunks
+even after an executor is lost. Two question-and-answer rounds follow:
 
-1. sketch: every chunk sends the sketch cells of its windows, sorted and delta-coded (about 2 bytes a window), to the
-   shard of the cell. A shard merges the partial sketches and answers one bit a cell: present in two chunks or more.
-2. exact: every chunk sends a 96-bit key and the smallest doc_id of each window whose cell is repeated (by the answer or
-   inside the chunk). A shard groups equal keys and answers one bit a key: a smaller doc_id has the window elsewhere.
+1. sketch: every chunk sends the sketch cells of its windows, sorted and delta-coded, to the shard of the cell. A shard
+   merges the partial sketches and answers one bit a cell: present in two chunks or more.
+2. exact: every chunk sends a 96-bit key, the smallest place (doc_id and position) and, if the operator wants it, what
+   stands around that place for each window whose cell is repeated (by the answer or inside the chunk). A shard joins
+   equal keys and answers one bit a key, whether a smaller doc_id has the window elsewhere, and what stands around its
+   smallest place. The halves of the key come from two independent hashes of the bytes of each word or line.
 
 Each chunk sends a window once however often it holds it, so a passage in a third of all documents costs its shard one
-entry a chunk. Shards are hash ranges of about `per_shard` windows; their number grows with the input. Nothing is
-broadcast and nothing but one sum of bytes reaches the driver.
+entry a chunk. Chunks and shards both grow with the square root of the input (see sizes), so that a message has as many
+windows at any size and their number grows with the input alone. Nothing is broadcast and nothing but one sum of bytes
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -30,23 +33,42 @@ from answerlens.llm.shared import arrow_map, materialise
 CHUNK = "chunk_id long, n_bytes long, blob binary"
 MESSAGE = "shard int, chunk_id long, body binary"
 MESSAGE_ARROW = pa.schema([("shard", pa.int32()), ("chunk_id", pa.int64()), ("body", pa.binary())])
+#: Windows a message, and bounds of a chunk (bytes) and of a shard (windows): what one task holds.
+A_MESSAGE, LEAST_CHUNK, MOST_CHUNK, LEAST_SHARD, MOST_SHARD = 1024, 2 << 20, 32 << 20, 1 << 17, 1 << 27
 
 
 @dataclass
 class Windows:
-    """Windows of one chunk: row and place in it of each, hash for the sketch, and the two halves of its exact key."""
+    """Windows of one chunk: row, place in it and length of each, hash for the sketch, first half of its exact key, the
+    second half of some of them, and for each a row of hashes of what stands around it (of any width, none as well)."""
 
     row: np.ndarray
     start: np.ndarray
+    length: np.ndarray
     probe: np.ndarray
     key: np.ndarray
-    check: np.ndarray
+    check: Callable[[np.ndarray], np.ndarray]
+    around: np.ndarray
 
 
 #: batch -> its windows
 Cut = Callable[[pa.RecordBatch], Windows]
-#: (batch, windows, covered by an earlier document) -> output batch
-Finish = Callable[[pa.RecordBatch, Windows, np.ndarray], pa.RecordBatch]
+#: (batch, windows, whether each stands in an earlier document, what stands around that place) -> output batch
+Finish = Callable[[pa.RecordBatch, Windows, np.ndarray, np.ndarray], pa.RecordBatch]
+
+
+def sizes(total_bytes: float, bytes_a_window: float) -> tuple[int, int]:
+    """(bytes of a chunk, bits of the shard number).
+
+    With n windows, sqrt(n * A_MESSAGE) in each chunk and each shard make n / A_MESSAGE messages of A_MESSAGE windows. Up to
+    0.1 TB of words or 1 TB of lines both stay in their bounds; beyond, chunks keep their size and shards take over, up to
+    theirs, which leaves about 40 words a message at 100 TB.
+    """
+    windows = max(1.0, total_bytes / bytes_a_window)
+    side = math.sqrt(windows * A_MESSAGE)
+    chunk = min(MOST_CHUNK, max(LEAST_CHUNK, int(side * bytes_a_window)))
+    shard = min(MOST_SHARD, max(LEAST_SHARD, windows * A_MESSAGE / (chunk / bytes_a_window) if chunk == MOST_CHUNK else side))
+    return chunk, max(0, round(math.log2(windows / shard)))
 
 
 def plane(values: np.ndarray) -> bytes:
@@ -154,15 +176,28 @@ def answer(bits: np.ndarray) -> bytes:
     return len(bits).to_bytes(4, "little") + np.packbits(bits).tobytes()
 
 
-def repeated_earlier(df: DataFrame, doc_id: str, text: str, cut: Cut, finish: Finish, schema: str, *, bytes_a_window: float, chunk_bytes: int = 2 << 20, per_shard: int = 1 << 19, cells_a_window: int = 12) -> DataFrame:
-    """finish() of every chunk, told which windows also stand in a document of smaller doc_id.
+def placed(w: Windows, ids: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct (key, check) of picked windows, the window at the smallest place of each, and each picked window's entry."""
+    check = w.check(picked)
+    order = np.lexsort((w.start[picked], ids[w.row[picked]], check, w.key[picked]))
+    key, half, at = w.key[picked][order], check[order], picked[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (half[1:] != half[:-1])
+    entry = np.full(len(w.row), -1, np.int64)
+    entry[at] = np.cumsum(new) - 1
+    return key[new], half[new], at[new], entry
+
+
+def repeated_earlier(df: DataFrame, doc_id: str, text: str, cut: Cut, finish: Finish, schema: str, *, bytes_a_window: float, cells_a_window: int = 12) -> DataFrame:
+    """finish() of every chunk, told which windows also stand in a document of smaller doc_id, and what is around them there
+    (at the smallest doc_id and position).
 
     A window of a row without doc_id is neither owner nor covered. Rows of equal doc_id don't cover each other.
     """
-    chunks = pack(df, text, chunk_bytes)
-    total = max(1, chunks.agg(F.sum("n_bytes")).first()[0] or 0)
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     windows = max(1.0, total / bytes_a_window)
-    shard_bits = max(0, math.ceil(math.log2(windows / per_shard)))
+    chunk_bytes, shard_bits = sizes(total, bytes_a_window)
+    chunks = pack(df, text, chunk_bytes)
     cell_bits = min(62, max(shard_bits + 8, math.ceil(math.log2(windows * cells_a_window))))
     drop = np.uint64(64 - cell_bits)
 
@@ -175,18 +210,12 @@ def repeated_earlier(df: DataFrame, doc_id: str, text: str, cut: Cut, finish: Fi
         return uniq, number, count
 
     def exact(batch: pa.RecordBatch, w: Windows, first: list[dict] | None):
-        """Sorted distinct (key, check) of windows estimated repeated, their smallest doc_id, and the entry of each window (-1: none)."""
+        """placed() of the windows estimated repeated, and the ids of the rows."""
         ids, known = ids_of(batch, doc_id)
         uniq, number, count = cells(w, known)
         often = bits_of(first, len(uniq)) | (count > 1)
         picked = np.flatnonzero((number >= 0) & often[number]) if len(often) else np.zeros(0, np.int64)
-        order = picked[np.lexsort((ids[w.row[picked]], w.check[picked], w.key[picked]))]
-        key, check, owner = w.key[order], w.check[order], ids[w.row[order]]
-        new = np.ones(len(order), bool)
-        new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-        entry = np.full(len(w.row), -1, np.int64)
-        entry[order] = np.cumsum(new) - 1
-        return key[new], check[new], owner[new], entry, ids
+        return *placed(w, ids, picked), ids
 
     def ask_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,36 +243,46 @@ def repeated_earlier(df: DataFrame, doc_id: str, text: str, cut: Cut, finish: Fi
         for b in batches:
             for chunk, blob, first in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 batch = unpack(blob.as_py())
-                key, check, owner, _, _ = exact(batch, cut(batch), first.as_py())
-                yield messages([(s, chunk, framed(sorted_up(key[i:j]), plane(check[i:j]), plane(owner[i:j]))) for s, i, j in split(key, shard_bits)])
+                w = cut(batch)
+                key, check, at, _, ids = exact(batch, w, first.as_py())
+                parts = lambda i, j: [sorted_up(key[i:j]), plane(check[i:j]), plane(ids[w.row[at[i:j]]]), plane(w.start[at[i:j]].astype(np.int64)), plane(w.around[at[i:j]].ravel())]  # noqa: E731, B023
+                yield messages([(s, chunk, framed(*parts(i, j))) for s, i, j in split(key, shard_bits)])
 
     def tell_exact(pdf):
         import pandas as pd
 
         parts = [unframed(b) for b in pdf["body"]]
         keys = [np.cumsum(unplane(p[0], np.uint64), dtype=np.uint64) for p in parts]
-        key, check, owner = np.concatenate(keys), np.concatenate([unplane(p[1], np.uint32) for p in parts]), np.concatenate([unplane(p[2], np.int64) for p in parts])
-        order = np.lexsort((check, key))
+        ends = np.cumsum([len(x) for x in keys])
+        gather = lambda i, kind: np.concatenate([unplane(p[i], kind) for p in parts])
+        key, check, owner, start = np.concatenate(keys), gather(1, np.uint32), gather(2, np.int64), gather(3, np.int64)
+        around = gather(4, np.uint64).reshape(len(key), -1) if len(key) else np.zeros((0, 0), np.uint64)
+        order = np.lexsort((start, owner, check, key))
         k, c = key[order], check[order]
         new = np.ones(len(order), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        least = np.minimum.reduceat(owner[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        earlier = np.zeros(len(order), bool)
-        earlier[order] = least < owner[order]
-        ends = np.cumsum([len(x) for x in keys])
-        return pd.DataFrame({"shard": pdf["shard"], "chunk_id": pdf["chunk_id"], "body": [answer(x) for x in np.split(earlier, ends[:-1])]})
+        least = np.empty(len(order), np.int64)
+        least[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the entry of the smallest place
+        earlier = owner[least] < owner
+        said = [framed(answer(x), plane(around[of].ravel())) for x, of in zip(np.split(earlier, ends[:-1]), np.split(least, ends[:-1]), strict=True)]
+        return pd.DataFrame({"shard": pdf["shard"], "chunk_id": pdf["chunk_id"], "body": said})
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob, first, second in zip(b.column(1), b.column(2), b.column(3), strict=True):
                 batch = unpack(blob.as_py())
                 w = cut(batch)
-                key, _, owner, entry, ids = exact(batch, w, first.as_py())
-                earlier = bits_of(second.as_py(), len(key))
-                at = entry >= 0
-                covered = np.zeros(len(entry), bool)
-                covered[at] = earlier[entry[at]] | (owner[entry[at]] < ids[w.row[at]])
-                yield finish(batch, w, covered)
+                key, _, at, entry, ids = exact(batch, w, first.as_py())
+                said = [(a["shard"], unframed(a["body"])) for a in sorted(second.as_py() or [], key=lambda a: a["shard"])]
+                earlier = bits_of([{"shard": n, "body": p[0]} for n, p in said], len(key))
+                around = w.around[at]
+                if around.shape[1] and len(key):  # of the smallest place of all
+                    around = np.concatenate([unplane(p[1], np.uint64) for _, p in said]).reshape(-1, around.shape[1])
+                has = np.flatnonzero(entry >= 0)
+                covered, found = np.zeros(len(entry), bool), np.zeros_like(w.around)
+                covered[has] = earlier[entry[has]] | (ids[w.row[at[entry[has]]]] < ids[w.row[has]])
+                found[has] = around[entry[has]]
+                yield finish(batch, w, covered, found)
 
     def answers(asked: DataFrame, tell, name: str) -> DataFrame:
         told = asked.groupBy("shard").applyInPandas(tell, MESSAGE)

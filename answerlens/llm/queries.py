@@ -96,16 +96,27 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-OP4_SQL = """
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, ls, list_transform(ls, lambda x: len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''))) AS ws
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+s AS (SELECT doc_id, ls, ws, unnest(range(1, len(ls) + 1)) AS i FROM l),
 k AS (
-  SELECT doc_id, i, array_to_string(ls[i:i + 1], chr(10)) AS k
-  FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM l WHERE len(ls) >= 2)),
-m AS (SELECT k, min(doc_id) AS first FROM k GROUP BY k),
-own AS (SELECT k, doc_id, min(i) AS first_i FROM k GROUP BY k, doc_id),
-hit AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + 2)) AS j
-  FROM k JOIN m USING (k) JOIN own USING (k, doc_id) WHERE first < doc_id OR first_i < i),
+  SELECT doc_id, ls, i, j, array_to_string(ls[i:j], chr(10)) AS k
+  FROM (SELECT *, CASE WHEN ws[i] >= 13 THEN i WHEN list_sum(ws[i:i + 1]) >= 13 THEN i + 1 WHEN list_sum(ws[i:i + 2]) >= 13 THEN i + 2 ELSE i + 3 END AS j FROM s)
+  WHERE j <= len(ls)),
+m AS (SELECT k, min({'d': doc_id, 'i': i}) AS place FROM k GROUP BY k),
+met AS (
+  SELECT k.doc_id, k.ls AS x, k.i AS a, k.j AS b, l.ls AS y, place.i AS c, place.i + k.j - k.i AS d
+  FROM k JOIN m USING (k) JOIN l ON l.doc_id = place.d
+  WHERE place.d < k.doc_id OR place.d = k.doc_id AND place.i < k.i),
+wide AS (
+  SELECT doc_id, a, b,
+         CASE WHEN p1 AND p2 AND p3 THEN 3 WHEN p1 AND p2 THEN 2 WHEN p1 THEN 1 ELSE 0 END AS back,
+         CASE WHEN n1 AND n2 AND n3 THEN 3 WHEN n1 AND n2 THEN 2 WHEN n1 THEN 1 ELSE 0 END AS onward
+  FROM (SELECT *, a > 1 AND c > 1 AND x[a - 1] = y[c - 1] AS p1, a > 2 AND c > 2 AND x[a - 2] = y[c - 2] AS p2, a > 3 AND c > 3 AND x[a - 3] = y[c - 3] AS p3,
+               x[b + 1] = y[d + 1] AS n1, x[b + 2] = y[d + 2] AS n2, x[b + 3] = y[d + 3] AS n3 FROM met)),
+hit AS (SELECT DISTINCT doc_id, unnest(range(a - back, b + onward + 1)) AS j FROM wide),
 lines AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS j FROM l),
 kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY j) AS t, count(*) AS n FROM lines ANTI JOIN hit USING (doc_id, j) GROUP BY doc_id)
 SELECT l.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls), 0) - coalesce(n, 0) AS BIGINT) AS n_removed_lines,

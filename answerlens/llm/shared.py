@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +62,13 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
 
 
 class HashCache(dict):
-    """word (bytes) -> XXH64, kept for at most `limit` short words so that memory stays bounded."""
+    """word (bytes) -> XXH64, or (again) XXH3, an independent hash; kept for at most `limit` short words so that memory stays bounded."""
 
-    def __init__(self, seed: int = 0, limit: int = 200_000):
-        self.seed, self.limit = seed, limit
+    def __init__(self, seed: int = 0, limit: int = 200_000, again: bool = False):
+        self.seed, self.limit, self.digest = seed, limit, xxhash.xxh3_64_intdigest if again else xxhash.xxh64_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word, self.seed)
+        value = self.digest(word, self.seed)
         if len(word) <= 40:
             if len(self) >= self.limit:
                 self.clear()
@@ -95,13 +96,27 @@ def rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
     return mix(out)
 
 
-def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+def second_half(units: Callable[[int], list[bytes]], n: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cache: HashCache) -> np.ndarray:
+    """32 bits of each window that begins at a place of the concatenated units (n[i] of row i) and has a length, by the
+    hashes of cache; only rows and units in a window are hashed."""
+    needed = cover(starts, lengths, int(n.sum()))
+    flat, ends = np.zeros(len(needed), np.uint64), np.cumsum(n)
+    for i in np.unique(np.searchsorted(ends, starts, side="right")).tolist():
+        base = int(ends[i] - n[i])
+        at, own = np.flatnonzero(needed[base : ends[i]]), units(i)
+        flat[base + at] = np.fromiter((cache[own[x]] for x in at.tolist()), np.uint64, len(at))
+    out, b = np.zeros(len(starts), np.uint64), np.uint64(0xC2B2AE3D27D4EB4F)
+    for j in range(int(lengths.max(initial=0))):
+        more = lengths > j
+        out[more] = out[more] * b + flat[starts[more] + j]
+    return (mix(out) >> np.uint64(32)).astype(np.uint32)
+
+
+def cover(starts: np.ndarray, width: int | np.ndarray, n: int) -> np.ndarray:
     """Boolean mask of length n: true where some interval [s, s + width) of `starts` lies."""
     if not len(starts):
         return np.zeros(n, bool)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + width, n), -1)
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + width, n), minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 

@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from answerlens.llm.exchange import Windows, repeated_earlier
-from answerlens.llm.shared import HashCache, as_bytes, cover, extended, free_name, mix, rolling
+from answerlens.llm.shared import HashCache, as_bytes, cover, extended, free_name, mix, rolling, second_half
 
 WINDOW = 13
 
 
 def words_cut(text: str, window: int):
     """Windows of `window` consecutive words (maximal runs without ASCII white space); null has none."""
-    cache = HashCache()
+    cache, second = HashCache(), HashCache(again=True)
 
     def cut(batch: pa.RecordBatch) -> Windows:
         texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
@@ -31,12 +31,13 @@ def words_cut(text: str, window: int):
         flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         rows = np.repeat(np.arange(len(n)), n)
         end = np.repeat(np.cumsum(n), n)
-        whole = np.arange(len(flat)) + window <= end
-        whole = whole[: max(0, len(flat) - window + 1)]
+        whole = np.flatnonzero(np.arange(len(flat)) + window <= end)
         key = rolling(flat, window, 0x9E3779B97F4A7C55)[whole]
-        check = rolling(mix(flat), window, 0xC2B2AE3D27D4EB4F)[whole]
-        start = np.arange(len(whole)) - (end - n[rows])[: len(whole)]
-        return Windows(rows[: len(whole)][whole], start[whole], mix(key), key, (check >> np.uint64(32)).astype(np.uint32))
+
+        def check(picked: np.ndarray) -> np.ndarray:
+            return second_half(lambda i: texts[i].split(), n, whole[picked], np.full(len(picked), window), second)
+
+        return Windows(rows[whole], whole - (end - n[rows])[whole], np.full(len(whole), window), mix(key), key, check, np.zeros((len(whole), 0), np.uint64))
 
     return cut
 
@@ -53,7 +54,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     for wanted in ("n_words", "n_removed", "kept_text"):
         names.append(free_name(wanted, df.columns + names))
 
-    def finish(batch: pa.RecordBatch, w: Windows, covered: np.ndarray) -> pa.RecordBatch:
+    def finish(batch: pa.RecordBatch, w: Windows, covered: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
         texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
         bounds = np.searchsorted(w.row, np.arange(len(texts) + 1))
         n_words, n_removed, kept = [], [], []
