@@ -102,15 +102,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
     return np.array(rows[name].tolist(), np.float64).reshape(len(rows), len(NAMES)), rows["y"].to_numpy(np.float64)
 
 
-def unlabelled_sample(documents: DataFrame, labels: DataFrame, bound: int) -> np.ndarray:
-    """Statistics of at most `bound` documents without a label (of all documents if each has one)."""
-    known = labels.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    ids = documents.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    for pool in (ids.join(known, "doc_id", "left_anti"), ids):
-        some = pool.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(bound)
-        texts = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-        found, name = with_stats(texts, keep=("doc_id",))
-        rows = found.orderBy("doc_id").toPandas()
-        if len(rows):
-            break
-    return np.array(rows[name].tolist(), np.float64).reshape(len(rows), len(NAMES))
+def matrix(found: DataFrame) -> np.ndarray:
+    """The values of a column of statistics, of a bounded number of rows."""
+    values = found.toArrow().column(0)
+    return values.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)) if len(values) else np.zeros((0, len(NAMES)))
