@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding.
 
-Encoding is relational: the most frequent words of the corpus (at most `most_words`, each of at most `longest` characters)
-are exploded into their substrings of bounded length, joined by equality to the piece table, the edges are grouped by
-word, and each word's lattice is folded by Spark's higher-order aggregate. The fold depends on the model:
+Encoding is relational. Words fall into stretches where no piece holds two neighbouring characters, which no segmentation
+crosses. All distinct stretches of the corpus are exploded into their substrings of bounded length, joined by equality to the
+piece table, the edges are grouped by stretch, and each lattice is folded by Spark's higher-order aggregate. The fold depends
+on the model:
 
 * "viterbi": the best sum of scores, for unigram models;
 * "merges": pieces in order of score, each joining two neighbours that make it up, for BPE models. Their scores are merge
   ranks, and the best sum of ranks is another segmentation than the model's (see README for figures).
 
-The words and their ids, of bounded number and size, are broadcast. Words beyond them are folded in the task by the same
-rule (edges from the same piece table), so results don't depend on the bound.
+The ids go back to the texts in two ways: those of the most frequent stretches (`most_words` at most) are broadcast, the
+others are sent to the chunks of texts that ask for them. The lattice of a stretch of more than `longest` characters, which
+only runs of letters or signs without a space have, would not fit a row; it is folded by the same rule in the task.
 
 White space: each space becomes U+2581 and one is put in front; other characters without a piece become byte pieces.
 """
@@ -26,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerlens.llm.exchange import pack, unpack
 from answerlens.llm.shared import arrow_map, extended, free_name, materialise
 
 SPACE = "▁"
 #: Runs of spaces with the word behind them; a line break is a word of its own. No piece crosses these bounds.
 UNIT = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-MOST_WORDS, LONGEST, SPARE = 400_000, 48, 100_000
+MOST_WORDS, LONGEST, SPARE, CHUNK_BYTES = 200_000, 256, 200_000, 8 << 20
 SLICE = 1000  # texts that a task holds as Python objects at a time
 
 
@@ -42,6 +45,8 @@ class Pieces:
         self.pieces, self.byte_ids, self.unknown, self.fold = pieces, byte_ids, unknown, fold
         self.width = max((len(p) for p, _, _ in pieces), default=1)
         self.by_text = {p: (i, s) for p, i, s in pieces}
+        #: Neighbouring characters of pieces: a segmentation has a bound between any others.
+        self.joins = frozenset(p[n : n + 2] for p in self.by_text for n in range(len(p) - 1))
         #: Every beginning of a piece: its rank (smaller for a better score) if it is a piece itself, else None.
         self.heads: dict[str, float | None] = {p[:n]: None for p in self.by_text for n in range(1, len(p) + 1)}
         self.heads |= {p: -s for p, (_, s) in self.by_text.items()}
@@ -80,6 +85,16 @@ class Pieces:
             return [self.by_text[c][0]]
         return [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
 
+    def stretches(self, word: str) -> list[str]:
+        """The parts of a word between which no piece reaches."""
+        joins, out, start = self.joins, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joins:
+                out.append(word[start:i])
+                start = i
+        out.append(word[start:])
+        return out
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, by the fold of this model over all edges of its lattice."""
         n, known, heads = len(word), self.by_text, self.heads.get
@@ -142,16 +157,25 @@ class Decoder:
 
 
 class WordIds(dict):
-    """key_of(word) -> ids as int32 bytes: the broadcast words, and at most SPARE of the others."""
-
-    def __init__(self, known: Iterable[tuple[str, bytes]], pieces: Pieces):
-        super().__init__(known)
-        self.pieces, self.spare = pieces, 0  # a worker keeps the broadcast value, and so its spare words, from task to task
+    """key_of(word) -> ids as int32 bytes, from the ids of its stretches; at most SPARE short words are kept."""
+
+    def __init__(self, pieces: Pieces, longest: int, frequent: dict[str, bytes]):
+        super().__init__()
+        self.pieces, self.longest, self.frequent, self.rare = pieces, longest, frequent, {}
+
+    def of(self, stretch: str) -> bytes:
+        ids = self.frequent.get(stretch) or self.rare.get(stretch)
+        if ids is None:
+            if len(stretch) <= self.longest:
+                raise KeyError(f"no ids came for {stretch!r}")
+            ids = array("i", self.pieces.encode_word(stretch)).tobytes()
+        return ids
 
     def __missing__(self, key: str) -> bytes:
-        ids = array("i", self.pieces.encode_word(word_of(key))).tobytes()
-        if self.spare < SPARE and len(key) <= 40:
-            self.spare += 1
+        ids = b"".join(map(self.of, self.pieces.stretches(word_of(key))))
+        if len(key) <= 40:
+            if len(self) >= SPARE:
+                self.clear()
             self[key] = ids
         return ids
 
@@ -189,40 +213,75 @@ def keys_of(text: str | None) -> list[str]:
     return out
 
 
-def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, n) of all texts, counted in each slice of a batch first."""
+class Parts(dict):
+    """key_of(word) -> its stretches; at most SPARE short words are kept."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, key: str) -> list[str]:
+        found = self.pieces.stretches(word_of(key))
+        if len(key) <= 40:
+            if len(self) >= SPARE:
+                self.clear()
+            self[key] = found
+        return found
+
+
+def counted(batch: pa.RecordBatch, at: int, parts: Parts) -> Counter[str]:
+    """How often each stretch occurs in a batch."""
+    words: Counter[str] = Counter()
+    for start in range(0, batch.num_rows, SLICE):
+        for t in batch.column(at).slice(start, SLICE):
+            words.update(keys_of(t.as_py()))
+    out: Counter[str] = Counter()
+    for key, n in words.items():
+        for x in parts[key]:
+            out[x] += n
+    return out
+
+
+def stretch_counts(chunks: DataFrame, at: int, pieces: Pieces, longest: int) -> DataFrame:
+    """(word, n): the distinct stretches of all texts, each counted in its chunk first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(pieces)
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                counts: Counter[str] = Counter()
-                for t in batch.column(0).slice(start, SLICE):
-                    counts.update(keys_of(t.as_py()))
-                yield pa.record_batch([pa.array(map(word_of, counts), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+            for blob in batch.column(0):
+                found = {w: n for w, n in counted(unpack(blob.as_py()), at, parts).items() if len(w) <= longest}
+                yield pa.record_batch([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
 
-    return arrow_map(df.select(text), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(chunks.select("blob"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int, longest: int) -> DataFrame:
-    """Words of at most `longest` characters above a count that no more than `most` of them reach."""
-    short = counts.filter(F.length("word") <= longest)
+def frequent_from(counts: DataFrame, most: int) -> int:
+    """A count that `most` words reach at most."""
     grade = F.floor(F.log2("n") * 8)
     left, least = most, None
-    for row in short.groupBy(grade.alias("grade")).count().orderBy(F.desc("grade")).collect():  # a few hundred grades at most
-        if row["count"] > left:
+    for row in counts.groupBy(grade.alias("grade")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("grade")).collect():  # a few hundred grades at most
+        if row["words"] > left:
             break
-        left, least = left - row["count"], row["grade"]
-    return short.filter(grade >= F.lit(least)).select("word") if least is not None else short.limit(0).select("word")
+        left, least = left - row["words"], row["least"]
+    return least if least is not None else 1 << 62
+
+
+EDGE = "struct<rank:double,s:int,e:int,id:int,score:double>"
 
 
 def lattice(words: DataFrame, spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(word, edges): edges are (rank, s, e, id, score), 0-based, of all substrings that are pieces, in order of rank."""
-    table = spark.createDataFrame(pieces.pieces, "piece string, id int, score double")  # as long as the vocabulary
-    starts = words.repartition("word").select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
-    ends = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + pieces.width, F.length("word")))).alias("e"))
+    """words with edges: (rank, s, e, id, score), 0-based, of all substrings that are pieces, in order of rank.
+
+    The empty substring at the start joins a row of its own, so that no word is lost.
+    """
+    rest = [c for c in words.columns if c != "word"]
+    table = spark.createDataFrame([*pieces.pieces, ("", -1, 0.0)], "piece string, id int, score double")  # as long as the vocabulary
+    starts = words.repartition("word").select("word", *rest, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
+    first = F.when(F.col("s") == 0, 0).otherwise(F.col("s") + 1)
+    ends = starts.select("word", *rest, "s", F.explode(F.sequence(first, F.least(F.col("s") + pieces.width, F.length("word")))).alias("e"))
     parts = ends.withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
-    edges = parts.join(F.broadcast(table), "piece").groupBy("word").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("rank"), "s", "e", "id", "score"))).alias("edges"))
-    return words.join(edges, "word", "left").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<rank:double,s:int,e:int,id:int,score:double>>)")))
+    edge = F.when(F.col("e") > F.col("s"), F.struct((-F.col("score")).alias("rank"), "s", "e", "id", "score"))
+    return parts.join(F.broadcast(table), "piece").groupBy("word", *rest).agg(F.sort_array(F.collect_list(edge)).cast(f"array<{EDGE}>").alias("edges"))
 
 
 def merge_bounds() -> Column:
@@ -238,7 +297,7 @@ def merge_bounds() -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of distinct words, by the relational lattice."""
+    """The columns of distinct words (word and any others), then ids, by the relational lattice."""
     cells = lattice(words, words.sparkSession, pieces)
     if pieces.fold == "merges":
         cells = cells.withColumn("bounds", merge_bounds())
@@ -250,7 +309,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
       transform(sequence(0, size(bounds) - 2), i -> coalesce(
         get(transform(filter(edges, x -> x.s = bounds[i] AND x.e = bounds[i + 1]), x -> array(x.id)), 0),
         get(transform(array(substring(word, bounds[i] + 1, 1)), c -> {last}), 0)))"""
-    return cells.select("word", F.expr(f"flatten({segment})").alias("ids"))
+    return cells.select(*words.columns, F.expr(f"flatten({segment})").alias("ids"))
 
 
 def viterbi_best(floor: float) -> Column:
@@ -280,33 +339,57 @@ def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most
     ids. Empty table: empty result.
     """
     pieces = pieces or Pieces.load()
-    spark = df.sparkSession
-    counts = materialise(word_counts(df, text), "word-counts")
-    found = encode_words(frequent_words(counts, most_words, longest), pieces).toArrow()
-    known = ((key_of(w), array("i", i).tobytes()) for w, i in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast(WordIds(known, pieces))
     at = df.columns.index(text)
+    chunks = pack(df, text, CHUNK_BYTES).select("chunk_id", "blob")
+    counts = materialise(stretch_counts(chunks, at, pieces, longest), "stretches")
+    known = materialise(encode_words(counts, pieces), "stretch-ids")
+    least = frequent_from(counts, most_words)
+    found = known.filter(F.col("n") >= least).select("word", "ids").toArrow()
+    frequent = {w: array("i", i).tobytes() for w, i in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)}
+    shared = df.sparkSession.sparkContext.broadcast(WordIds(pieces, longest, frequent))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, frequent = Parts(shared.value.pieces), shared.value.frequent
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rare = [w for w in counted(unpack(blob.as_py()), at, parts) if w not in frequent and len(w) <= longest]
+                yield pa.record_batch([pa.array([chunk] * len(rare), pa.int64()), pa.array(rare, pa.string())], names=["chunk_id", "word"])
+
+    told = arrow_map(chunks, ask, "chunk_id long, word string").join(known.filter(F.col("n") < least).select("word", "ids"), "word")
+    replies = told.groupBy("chunk_id").agg(F.collect_list(F.struct("word", "ids")).alias("told"))
     ids_name = free_name("ids", df.columns)
     n_name = free_name("n_tokens", [*df.columns, ids_name])
     new = [(ids_name, "array<int>"), (n_name, "long")] + [(free_name("decoded", [*df.columns, ids_name, n_name]), "string")] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = None
-        for batch in batches:
-            ids_of = shared.value
-            decoder = decoder or Decoder(ids_of.pieces)
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                texts = [t.as_py() for t in part.column(at)]
-                found = [None if t is None else b"".join(map(ids_of.__getitem__, keys_of(t))) for t in texts]
-                n = np.array([len(f or b"") // 4 for f in found], np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.append([f is None for f in found], False))
-                values = pa.array(np.frombuffer(b"".join(f or b"" for f in found), np.int32))
-                ids = pa.ListArray.from_arrays(offsets, values)
-                back = [pa.array([None if f is None else decoder.text(np.frombuffer(f, np.int32)) for f in found], pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(n), *back], names=[*part.schema.names, *(c for c, _ in new)])
-
-    return arrow_map(df, run, extended(df, *new))
+        ids_of = shared.value
+        decoder = Decoder(ids_of.pieces) if decoded else None
+        for asked in batches:
+            for blob, told in zip(asked.column(0), asked.column(1), strict=True):
+                ids_of.rare = rare_ids(told)
+                batch = unpack(blob.as_py())
+                for start in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(start, SLICE)
+                    texts = [t.as_py() for t in part.column(at)]
+                    found = [None if t is None else b"".join(map(ids_of.__getitem__, keys_of(t))) for t in texts]
+                    n = np.array([len(f or b"") // 4 for f in found], np.int64)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.append([f is None for f in found], False))
+                    values = pa.array(np.frombuffer(b"".join(f or b"" for f in found), np.int32))
+                    ids = pa.ListArray.from_arrays(offsets, values)
+                    back = [pa.array([None if f is None else decoder.text(np.frombuffer(f, np.int32)) for f in found], pa.string())] if decoder else []
+                    yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(n), *back], names=[*part.schema.names, *(c for c, _ in new)])
+
+    met = chunks.join(replies.hint("shuffle_hash"), "chunk_id", "left").select("blob", "told")
+    return arrow_map(met, run, extended(df, *new))
+
+
+def rare_ids(told: pa.ListScalar) -> dict[str, bytes]:
+    """stretch -> ids as int32 bytes, of the answers to one chunk."""
+    if not told.is_valid:
+        return {}
+    words, ids = told.values.field(0).to_pylist(), told.values.field(1)
+    raw, ends = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(ids.value_lengths().to_numpy())
+    return {w: x.tobytes() for w, x in zip(words, np.split(raw, ends[:-1]), strict=True)}
 
 
 def decode(df: DataFrame, pieces: Pieces | None = None, ids: str = "ids") -> DataFrame:
