@@ -9,7 +9,7 @@ positives is graded by a score learnt from the other half). Labels are read only
 1; scores depend on the text alone.
 
 The statistics of each text are taken once and written; the sums over the unlabelled texts that each step of the descent
-needs are made by the cluster over the bins of all of them, one long a cell.
+needs are made by the cluster over the bins of all of them.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ GRADES, DELTA = 200, 0.1
 SIZE = len(NAMES) * BINS
 #: Fixed point of the sums, so that their order doesn't matter.
 UNIT = 2.0**24
+MOST_TASKS = 1000
 
 
 @dataclass
@@ -184,7 +185,7 @@ def binned(texts: DataFrame, model: Additive) -> DataFrame:
 
 
 def over(bins: DataFrame, model: Additive, sums: Callable[[Additive, np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
-    """sums() over all rows of binned(): one row a task and cell, added up by the cluster."""
+    """sums() over all rows of binned(): one row a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -192,14 +193,12 @@ def over(bins: DataFrame, model: Additive, sums: Callable[[Additive, np.ndarray,
             raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, len(NAMES))
             if len(raw):
                 total += sums(model, raw + np.arange(len(NAMES)) * BINS, batch.column(1).to_numpy().astype(np.float64))
-        units = np.rint(total * UNIT).astype(np.int64)
-        at = np.flatnonzero(units)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(units[at])], names=["cell", "units"])
-
-    out = np.zeros(width)
-    for cell, units in arrow_map(bins, run, "cell int, units long").groupBy("cell").agg(F.sum("units")).collect():  # `width` rows at most
-        out[cell] = units / UNIT
-    return out
+        yield pa.record_batch([pa.array([np.rint(total * UNIT).astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["units"])
+
+    told = arrow_map(bins, run, "units array<long>")
+    if bins.rdd.getNumPartitions() > MOST_TASKS:  # the driver gets a bounded number of rows
+        told = told.select(F.posexplode("units").alias("cell", "units")).groupBy("cell").agg(F.sum("units").alias("units")).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "units"))), lambda x: x.units).alias("units"))
+    return np.sum([r.units for r in told.collect()], axis=0, dtype=np.int64) / UNIT
 
 
 def train(documents: DataFrame, labels: DataFrame, trusted: int = 20_000) -> Additive:

@@ -18,13 +18,12 @@ White space: each space becomes U+2581 and one is put in front; other characters
 
 from __future__ import annotations
 
-import re
 from array import array
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +31,10 @@ from answerlens.llm.exchange import pack, unpack
 from answerlens.llm.shared import arrow_map, extended, free_name, materialise
 
 SPACE = "▁"
-#: Runs of spaces with the word behind them; a line break is a word of its own. No piece crosses these bounds.
-UNIT = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-MOST_WORDS, LONGEST, SPARE, CHUNK_BYTES = 200_000, 256, 200_000, 8 << 20
-SLICE = 1000  # texts that a task holds as Python objects at a time
+MOST_WORDS, LONGEST, CHUNK_BYTES = 200_000, 256, 8 << 20
+SLICE = 1000  # texts that a task works on at a time
+#: Bits of the rank, of each end and of the id of an edge of a "merges" lattice.
+RANK_BITS, PLACE_BITS, ID_BITS = 19, 12, 20
 
 
 class Pieces:
@@ -45,8 +44,6 @@ class Pieces:
         self.pieces, self.byte_ids, self.unknown, self.fold = pieces, byte_ids, unknown, fold
         self.width = max((len(p) for p, _, _ in pieces), default=1)
         self.by_text = {p: (i, s) for p, i, s in pieces}
-        #: Neighbouring characters of pieces: a segmentation has a bound between any others.
-        self.joins = frozenset(p[n : n + 2] for p in self.by_text for n in range(len(p) - 1))
         #: Every beginning of a piece: its rank (smaller for a better score) if it is a piece itself, else None.
         self.heads: dict[str, float | None] = {p[:n]: None for p in self.by_text for n in range(1, len(p) + 1)}
         self.heads |= {p: -s for p, (_, s) in self.by_text.items()}
@@ -85,16 +82,6 @@ class Pieces:
             return [self.by_text[c][0]]
         return [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
 
-    def stretches(self, word: str) -> list[str]:
-        """The parts of a word between which no piece reaches."""
-        joins, out, start = self.joins, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in joins:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
-
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, by the fold of this model over all edges of its lattice."""
         n, known, heads = len(word), self.by_text, self.heads.get
@@ -141,6 +128,39 @@ class Pieces:
         return min((s for _, _, s in self.pieces), default=0.0) - 10.0
 
 
+class Cutter:
+    """Cuts texts where no piece holds two neighbouring characters."""
+
+    def __init__(self, pieces: Pieces):
+        pairs = {p[n : n + 2] for p in pieces.by_text for n in range(len(p) - 1)}
+        alphabet = sorted({c for pair in pairs for c in pair})
+        number = {c: i + 1 for i, c in enumerate(alphabet)}
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.joined = np.zeros((len(alphabet) + 1,) * 2, bool)
+        for a, b in pairs:
+            self.joined[number[a], number[b]] = True
+
+    def cut(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The stretches of all texts, and the number of the first one of each text (and of the end)."""
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        whole = "".join(marked)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        kind = self.kind[points]
+        bound = np.ones(len(points) + 1, bool)
+        if len(points):
+            bound[1:-1] = ~self.joined.ravel()[kind[:-1] * np.int32(len(self.joined)) + kind[1:]]
+        places = np.cumsum([0, *map(len, marked)])
+        bound[places] = True
+        size = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+        at = np.flatnonzero(bound)
+        offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[at]
+        big = offsets[-1] >= 1 << 31
+        kinds = (pa.LargeStringArray, np.int64) if big else (pa.StringArray, np.int32)
+        stretches = kinds[0].from_buffers(len(at) - 1, pa.py_buffer(offsets.astype(kinds[1])), pa.py_buffer(whole.encode()))
+        return stretches, np.searchsorted(at, places)
+
+
 class Decoder:
     def __init__(self, pieces: Pieces):
         surfaces = pieces.surfaces()
@@ -148,19 +168,24 @@ class Decoder:
         self.size = np.array([len(x) for x in surfaces])
         self.start = np.cumsum(self.size) - self.size
 
-    def text(self, ids: np.ndarray) -> str:
-        """Without the space put in front; bytes that are no UTF-8 become U+FFFD."""
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of so many ids each, without the space put in front; bytes that are no UTF-8 become U+FFFD."""
         size = self.size[ids]
-        ends = np.cumsum(size)
-        raw = self.bytes[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1])].tobytes() if len(ids) else b""
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        raw = self.bytes[ragged(self.start[ids], size)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [raw[a + (raw[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each (start, size), one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
-class WordIds(dict):
-    """key_of(word) -> ids as int32 bytes, from the ids of its stretches; at most SPARE short words are kept."""
+
+class StretchIds:
+    """stretch -> ids as int32 bytes: of the broadcast ones, of those that came for a chunk, and of longer ones."""
 
     def __init__(self, pieces: Pieces, longest: int, frequent: dict[str, bytes]):
-        super().__init__()
         self.pieces, self.longest, self.frequent, self.rare = pieces, longest, frequent, {}
 
     def of(self, stretch: str) -> bytes:
@@ -171,86 +196,47 @@ class WordIds(dict):
             ids = array("i", self.pieces.encode_word(stretch)).tobytes()
         return ids
 
-    def __missing__(self, key: str) -> bytes:
-        ids = b"".join(map(self.of, self.pieces.stretches(word_of(key))))
-        if len(key) <= 40:
-            if len(self) >= SPARE:
-                self.clear()
-            self[key] = ids
-        return ids
-
-
-def words_of(text: str | None) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-def key_of(word: str) -> str:
-    """How a word is kept: one with a single space in front without it, any other behind a NUL."""
-    return word[1:] if len(word) > 1 and word[0] == SPACE and word[1] != SPACE else "\0" + word
-
-
-def word_of(key: str) -> str:
-    return key[1:] if key[0] == "\0" else SPACE + key
-
-
-def keys_of(text: str | None) -> list[str]:
-    """key_of() of words_of(text), without a search for words where single spaces part them."""
-    if not text:
-        return []
-    if SPACE in text or "\0" in text:
-        return list(map(key_of, words_of(text))) if "\0" not in text else ["\0" + w for w in words_of(text)]
-    out: list[str] = []
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            out.append("\0\n")
-        if not line or "  " in line or line[0] == " " or line[-1] == " ":
-            out += map(key_of, UNIT.findall(SPACE * (i == 0) + line.replace(" ", SPACE)))
-        else:
-            parts = line.split(" ")
-            if i:
-                parts[0] = "\0" + parts[0]
-            out += parts
-    return out
-
-
-class Parts(dict):
-    """key_of(word) -> its stretches; at most SPARE short words are kept."""
+    def encode(self, stretches: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        if not len(stretches):
+            return np.zeros(0, np.int32), np.zeros(len(first) - 1, np.int64)
+        coded = stretches.dictionary_encode()
+        each = list(map(self.of, coded.dictionary.to_pylist()))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        which = coded.indices.to_numpy()
+        ids = np.frombuffer(b"".join(each), np.int32)[ragged((np.cumsum(size) - size)[which], size[which])]
+        ends = np.concatenate([[0], np.cumsum(size[which])])
+        return ids, np.diff(ends[first])
 
-    def __init__(self, pieces: Pieces):
-        super().__init__()
-        self.pieces = pieces
 
-    def __missing__(self, key: str) -> list[str]:
-        found = self.pieces.stretches(word_of(key))
-        if len(key) <= 40:
-            if len(self) >= SPARE:
-                self.clear()
-            self[key] = found
-        return found
+def texts_of(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    for start in range(0, batch.num_rows, SLICE):
+        part = batch.slice(start, SLICE)
+        yield part, part.column(at).to_pylist()
 
 
-def counted(batch: pa.RecordBatch, at: int, parts: Parts) -> Counter[str]:
-    """How often each stretch occurs in a batch."""
-    words: Counter[str] = Counter()
-    for start in range(0, batch.num_rows, SLICE):
-        for t in batch.column(at).slice(start, SLICE):
-            words.update(keys_of(t.as_py()))
-    out: Counter[str] = Counter()
-    for key, n in words.items():
-        for x in parts[key]:
-            out[x] += n
-    return out
+def counted(batch: pa.RecordBatch, at: int, cutter: Cutter, longest: int) -> pa.Table:
+    """(word, n): how often each stretch of `longest` characters or fewer occurs in a batch."""
+    tables = []
+    for _, texts in texts_of(batch, at):
+        coded = cutter.cut(texts)[0].dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+        tables.append(pa.table({"word": coded.dictionary.cast(pa.large_string()), "n": pa.array(n, pa.int64())}))
+    if not tables:
+        return pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+    out = pa.concat_tables(tables)
+    out = out.filter(pc.less_equal(pc.utf8_length(out["word"]), longest)).group_by("word").aggregate([("n", "sum")])
+    return pa.table({"word": out["word"].cast(pa.string()), "n": out["n_sum"]})
 
 
 def stretch_counts(chunks: DataFrame, at: int, pieces: Pieces, longest: int) -> DataFrame:
     """(word, n): the distinct stretches of all texts, each counted in its chunk first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(pieces)
+        cutter = Cutter(pieces)
         for batch in batches:
             for blob in batch.column(0):
-                found = {w: n for w, n in counted(unpack(blob.as_py()), at, parts).items() if len(w) <= longest}
-                yield pa.record_batch([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+                yield from counted(unpack(blob.as_py()), at, cutter, longest).to_batches()
 
     return arrow_map(chunks.select("blob"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -266,49 +252,58 @@ def frequent_from(counts: DataFrame, most: int) -> int:
     return least if least is not None else 1 << 62
 
 
-EDGE = "struct<rank:double,s:int,e:int,id:int,score:double>"
-
-
 def lattice(words: DataFrame, spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """words with edges: (rank, s, e, id, score), 0-based, of all substrings that are pieces, in order of rank.
+    """words with edges of all substrings that are pieces, in order of rank (better scores first).
 
-    The empty substring at the start joins a row of its own, so that no word is lost.
+    An edge is a struct (s, e, score, id), 0-based, or for "merges" a long of its rank, ends and id, from the top down. The
+    empty substring at the start joins a row of its own, so that no word is lost.
     """
     rest = [c for c in words.columns if c != "word"]
-    table = spark.createDataFrame([*pieces.pieces, ("", -1, 0.0)], "piece string, id int, score double")  # as long as the vocabulary
+    ranks = {x: i for i, x in enumerate(sorted({-score for _, _, score in pieces.pieces}))}
+    rows = [(p, i, score, ranks[-score]) for p, i, score in pieces.pieces] + [("", -1, 0.0, 0)]
+    table = spark.createDataFrame(rows, "piece string, id int, score double, rank long")  # as long as the vocabulary
     starts = words.repartition("word").select("word", *rest, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
     first = F.when(F.col("s") == 0, 0).otherwise(F.col("s") + 1)
     ends = starts.select("word", *rest, "s", F.explode(F.sequence(first, F.least(F.col("s") + pieces.width, F.length("word")))).alias("e"))
     parts = ends.withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
-    edge = F.when(F.col("e") > F.col("s"), F.struct((-F.col("score")).alias("rank"), "s", "e", "id", "score"))
-    return parts.join(F.broadcast(table), "piece").groupBy("word", *rest).agg(F.sort_array(F.collect_list(edge)).cast(f"array<{EDGE}>").alias("edges"))
+    if pieces.fold == "merges":
+        if len(ranks) >= 1 << RANK_BITS or max((i for _, i, _ in pieces.pieces), default=0) >= 1 << ID_BITS:
+            raise ValueError("more ranks or ids than an edge can hold")
+        value = F.expr(f"shiftleft(shiftleft(shiftleft(rank, {PLACE_BITS}) + s, {PLACE_BITS}) + e, {ID_BITS}) + id")
+    else:
+        value = F.struct("s", "e", "score", "id")
+    edge = F.when(F.col("e") > F.col("s"), value)
+    return parts.join(F.broadcast(table), "piece").groupBy("word", *rest).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+START, END = (f"cast(shiftright(x, {ID_BITS + shift}) & {(1 << PLACE_BITS) - 1} as int)" for shift in (PLACE_BITS, 0))
 
 
 def merge_bounds() -> Column:
     """Bounds of the segments of `word`: edges in order of score join two neighbouring segments each."""
-    return F.expr("""
+    return F.expr(f"""
       aggregate(
-        filter(edges, x -> x.e - x.s > 1),
+        edges,
         sequence(0, length(word)),
         (bounds, x) -> CASE
-          WHEN get(bounds, cast(array_position(bounds, x.s) as int) + 1) = x.e AND array_contains(bounds, x.s)
-          THEN filter(bounds, b -> b <= x.s OR b >= x.e)
+          WHEN get(bounds, cast(array_position(bounds, {START}) as int) + 1) = {END} AND array_contains(bounds, {START})
+          THEN array_remove(bounds, get(bounds, cast(array_position(bounds, {START}) as int)))
           ELSE bounds END)""")
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """The columns of distinct words (word and any others), then ids, by the relational lattice."""
     cells = lattice(words, words.sparkSession, pieces)
+    byte_ids = f"array({', '.join(map(str, pieces.byte_ids))})" if pieces.byte_ids else None
+    last = f"transform(sequence(0, octet_length(c) - 1), k -> {byte_ids}[cast(conv(substring(hex(c), 2 * k + 1, 2), 16, 10) as int)])" if byte_ids else f"array({pieces.unknown})"
     if pieces.fold == "merges":
-        cells = cells.withColumn("bounds", merge_bounds())
+        places = F.expr(f"transform(edges, x -> shiftright(x, {ID_BITS}) & {(1 << 2 * PLACE_BITS) - 1})")
+        cells = cells.withColumn("bounds", merge_bounds()).withColumn("places", places)
+        known = f"transform(filter(array(array_position(places, cast(bounds[i] as bigint) * {1 << PLACE_BITS} + bounds[i + 1])), p -> p > 0), p -> array(cast(edges[cast(p as int) - 1] & {(1 << ID_BITS) - 1} as int)))"
     else:
         cells = cells.withColumn("best", viterbi_best(pieces.unknown_score())).withColumn("bounds", back_track())
-    byte_ids = f"array({', '.join(map(str, pieces.byte_ids))})" if pieces.byte_ids else None
-    last = f"transform(sequence(0, octet_length(c) - 1), k -> {byte_ids}[cast(conv(substring(hex(c), 2 * k + 1, 2), 16, 10) as int)])" if byte_ids else f"array({pieces.unknown})"
-    segment = f"""
-      transform(sequence(0, size(bounds) - 2), i -> coalesce(
-        get(transform(filter(edges, x -> x.s = bounds[i] AND x.e = bounds[i + 1]), x -> array(x.id)), 0),
-        get(transform(array(substring(word, bounds[i] + 1, 1)), c -> {last}), 0)))"""
+        known = "transform(filter(edges, x -> x.s = bounds[i] AND x.e = bounds[i + 1]), x -> array(x.id))"
+    segment = f"transform(sequence(0, size(bounds) - 2), i -> coalesce(get({known}, 0), get(transform(array(substring(word, bounds[i] + 1, 1)), c -> {last}), 0)))"
     return cells.select(*words.columns, F.expr(f"flatten({segment})").alias("ids"))
 
 
@@ -338,6 +333,8 @@ def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most
     Null text: null ids, no tokens. Empty text: empty ids. Texts of any length are encoded whole. Equal texts have equal
     ids. Empty table: empty result.
     """
+    if longest >= 1 << PLACE_BITS:
+        raise ValueError(f"longest must be below {1 << PLACE_BITS}")
     pieces = pieces or Pieces.load()
     at = df.columns.index(text)
     chunks = pack(df, text, CHUNK_BYTES).select("chunk_id", "blob")
@@ -345,14 +342,13 @@ def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most
     known = materialise(encode_words(counts, pieces), "stretch-ids")
     least = frequent_from(counts, most_words)
     found = known.filter(F.col("n") >= least).select("word", "ids").toArrow()
-    frequent = {w: array("i", i).tobytes() for w, i in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)}
-    shared = df.sparkSession.sparkContext.broadcast(WordIds(pieces, longest, frequent))
+    shared = df.sparkSession.sparkContext.broadcast(StretchIds(pieces, longest, ids_by_word(found["word"], found["ids"])))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, frequent = Parts(shared.value.pieces), shared.value.frequent
+        cutter, frequent = Cutter(shared.value.pieces), shared.value.frequent
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rare = [w for w in counted(unpack(blob.as_py()), at, parts) if w not in frequent and len(w) <= longest]
+                rare = [w for w in counted(unpack(blob.as_py()), at, cutter, longest)["word"].to_pylist() if w not in frequent]
                 yield pa.record_batch([pa.array([chunk] * len(rare), pa.int64()), pa.array(rare, pa.string())], names=["chunk_id", "word"])
 
     told = arrow_map(chunks, ask, "chunk_id long, word string").join(known.filter(F.col("n") < least).select("word", "ids"), "word")
@@ -363,33 +359,31 @@ def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = shared.value
-        decoder = Decoder(ids_of.pieces) if decoded else None
+        cutter, decoder = Cutter(ids_of.pieces), Decoder(ids_of.pieces)
         for asked in batches:
             for blob, told in zip(asked.column(0), asked.column(1), strict=True):
                 ids_of.rare = rare_ids(told)
-                batch = unpack(blob.as_py())
-                for start in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(start, SLICE)
-                    texts = [t.as_py() for t in part.column(at)]
-                    found = [None if t is None else b"".join(map(ids_of.__getitem__, keys_of(t))) for t in texts]
-                    n = np.array([len(f or b"") // 4 for f in found], np.int64)
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.append([f is None for f in found], False))
-                    values = pa.array(np.frombuffer(b"".join(f or b"" for f in found), np.int32))
-                    ids = pa.ListArray.from_arrays(offsets, values)
-                    back = [pa.array([None if f is None else decoder.text(np.frombuffer(f, np.int32)) for f in found], pa.string())] if decoder else []
-                    yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(n), *back], names=[*part.schema.names, *(c for c, _ in new)])
+                for part, texts in texts_of(unpack(blob.as_py()), at):
+                    ids, n = ids_of.encode(*cutter.cut(texts))
+                    null = np.array([t is None for t in texts])
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.append(null, False))
+                    back = [pa.array([None if x else t for x, t in zip(null.tolist(), decoder.texts(ids, n), strict=True)], pa.string())] if decoded else []
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(n), *back], names=[*part.schema.names, *(c for c, _ in new)])
 
     met = chunks.join(replies.hint("shuffle_hash"), "chunk_id", "left").select("blob", "told")
     return arrow_map(met, run, extended(df, *new))
 
 
+def ids_by_word(words: pa.ChunkedArray, ids: pa.ChunkedArray) -> dict[str, bytes]:
+    """stretch -> ids as int32 bytes."""
+    raw = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in ids.chunks)]).astype(np.int32).tobytes()
+    ends = (np.cumsum(np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy() for c in ids.chunks)])) * 4).astype(np.int64).tolist()
+    return {w: raw[a:b] for w, a, b in zip(words.to_pylist(), [0, *ends], ends, strict=False)}
+
+
 def rare_ids(told: pa.ListScalar) -> dict[str, bytes]:
-    """stretch -> ids as int32 bytes, of the answers to one chunk."""
-    if not told.is_valid:
-        return {}
-    words, ids = told.values.field(0).to_pylist(), told.values.field(1)
-    raw, ends = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(ids.value_lengths().to_numpy())
-    return {w: x.tobytes() for w, x in zip(words, np.split(raw, ends[:-1]), strict=True)}
+    """The answers to one chunk."""
+    return ids_by_word(*(pa.chunked_array([told.values.field(i)]) for i in (0, 1))) if told.is_valid else {}
 
 
 def decode(df: DataFrame, pieces: Pieces | None = None, ids: str = "ids") -> DataFrame:
@@ -403,7 +397,9 @@ def decode(df: DataFrame, pieces: Pieces | None = None, ids: str = "ids") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [decoder.text(row.values.to_numpy(zero_copy_only=False)) if row.is_valid else None for row in batch.column(at)]
+            n = batch.column(at).value_lengths().fill_null(0).to_numpy()
+            texts = decoder.texts(batch.column(at).flatten().to_numpy(zero_copy_only=False), n)
+            out = [t if there else None for t, there in zip(texts, batch.column(at).is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, name])
 
     return arrow_map(df, run, extended(df, (name, "string")))

@@ -25,12 +25,15 @@ def made(seed, n):
     return ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(n)]
 
 
-def test_words_in_the_task_match_the_library(library, pieces):
-    from answerlens.llm.sentencepieces import keys_of, word_of, words_of
-
-    for t in made(1, 3000) + ["a" * 5000, "-" * 77, "x" + "e" * 300]:
-        assert [i for w in words_of(t) for i in pieces.encode_word(w)] == library.encode(t), t
-        assert list(map(word_of, keys_of(t))) == words_of(t)
+def test_stretches_match_the_library(library, pieces):
+    from answerlens.llm.sentencepieces import Cutter
+
+    texts = [*made(1, 3000), "a" * 5000, "-" * 77, "x" + "e" * 300, "", None, "a\0b \0", "▁ ▁a"]
+    stretches, first = Cutter(pieces).cut(texts)
+    own = stretches.to_pylist()
+    for t, a, b in zip(texts, first, first[1:]):
+        assert "".join(own[a:b]) == (SPACE + t.replace(" ", SPACE) if t else "")
+        assert [i for w in own[a:b] for i in pieces.encode_word(w)] == library.encode(t or ""), t
 
 
 def test_corpus_matches_the_library(spark, library, pieces):
