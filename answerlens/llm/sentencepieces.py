@@ -31,8 +31,8 @@ from answerlens.llm.exchange import pack, unpack
 from answerlens.llm.shared import arrow_map, extended, free_name, materialise
 
 SPACE = "▁"
-MOST_WORDS, LONGEST, CHUNK_BYTES = 200_000, 256, 8 << 20
-SLICE = 1000  # texts that a task works on at a time
+MOST_WORDS, LONGEST, CHUNK_BYTES = 200_000, 256, 4 << 20
+SLICE = 400  # texts that a task works on at a time
 #: Bits of the rank, of each end and of the id of an edge of a "merges" lattice.
 RANK_BITS, PLACE_BITS, ID_BITS = 19, 12, 20
 
@@ -369,6 +369,7 @@ def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most
                     offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32(), mask=np.append(null, False))
                     back = [pa.array([None if x else t for x, t in zip(null.tolist(), decoder.texts(ids, n), strict=True)], pa.string())] if decoded else []
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(n), *back], names=[*part.schema.names, *(c for c, _ in new)])
+                pa.default_memory_pool().release_unused()
 
     met = chunks.join(replies.hint("shuffle_hash"), "chunk_id", "left").select("blob", "told")
     return arrow_map(met, run, extended(df, *new))
