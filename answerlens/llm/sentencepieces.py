@@ -18,6 +18,7 @@ White space: each space becomes U+2581 and one is put in front; other characters
 
 from __future__ import annotations
 
+import math
 from array import array
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ from answerlens.llm.shared import arrow_map, extended, free_name, materialise
 SPACE = "▁"
 MOST_WORDS, LONGEST, CHUNK_BYTES = 200_000, 256, 4 << 20
 SLICE = 400  # texts that a task works on at a time
+A_TASK = 40_000  # stretches whose edges a task groups in memory
 #: Bits of the rank, of each end and of the id of an edge of a "merges" lattice.
 RANK_BITS, PLACE_BITS, ID_BITS = 19, 12, 20
 
@@ -262,7 +264,8 @@ def lattice(words: DataFrame, spark: SparkSession, pieces: Pieces) -> DataFrame:
     ranks = {x: i for i, x in enumerate(sorted({-score for _, _, score in pieces.pieces}))}
     rows = [(p, i, score, ranks[-score]) for p, i, score in pieces.pieces] + [("", -1, 0.0, 0)]
     table = spark.createDataFrame(rows, "piece string, id int, score double, rank long")  # as long as the vocabulary
-    starts = words.repartition("word").select("word", *rest, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
+    tasks = max(1, math.ceil(words.count() / A_TASK))
+    starts = words.repartition(tasks, "word").select("word", *rest, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
     first = F.when(F.col("s") == 0, 0).otherwise(F.col("s") + 1)
     ends = starts.select("word", *rest, "s", F.explode(F.sequence(first, F.least(F.col("s") + pieces.width, F.length("word")))).alias("e"))
     parts = ends.withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
