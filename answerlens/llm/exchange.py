@@ -28,7 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlens.llm.shared import arrow_map, materialise
+from answerlens.llm.shared import arrow_map
+from answerlens.storage import bucketed, materialise
 
 CHUNK = "chunk_id long, n_bytes long, blob binary"
 MESSAGE = "shard int, chunk_id long, body binary"
@@ -100,8 +101,9 @@ def sorted_up(values: np.ndarray) -> bytes:
     return plane(np.diff(values, prepend=values.dtype.type(0)))
 
 
-def pack(df: DataFrame, text: str, chunk_bytes: int) -> DataFrame:
-    """df as chunks of whole rows, at least one row each, all columns kept."""
+def pack(df: DataFrame, text: str, chunk_bytes: int, total_bytes: float) -> DataFrame:
+    """df as chunks of whole rows, at least one row each, all columns kept; in buckets of chunk_id, so that answers come to the
+    chunks and not the other way round."""
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +115,7 @@ def pack(df: DataFrame, text: str, chunk_bytes: int) -> DataFrame:
             nonlocal serial, held, held_bytes
             table = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as w:
                 w.write_table(table)
             row = pa.record_batch([pa.array([serial], pa.int64()), pa.array([held_bytes], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk_id", "n_bytes", "blob"])
             serial, held, held_bytes = serial + 1, [], 0
@@ -133,7 +135,7 @@ def pack(df: DataFrame, text: str, chunk_bytes: int) -> DataFrame:
         if held:
             yield out()
 
-    return materialise(arrow_map(df, run, CHUNK), "chunks", compression="uncompressed")
+    return bucketed(arrow_map(df, run, CHUNK), "chunks", "chunk_id", total_bytes, compression="uncompressed")
 
 
 def unpack(blob: bytes) -> pa.RecordBatch:
@@ -197,7 +199,7 @@ def repeated_earlier(df: DataFrame, doc_id: str, text: str, cut: Cut, finish: Fi
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     windows = max(1.0, total / bytes_a_window)
     chunk_bytes, shard_bits = sizes(total, bytes_a_window)
-    chunks = pack(df, text, chunk_bytes)
+    chunks = pack(df, text, chunk_bytes, total)
     cell_bits = min(62, max(shard_bits + 8, math.ceil(math.log2(windows * cells_a_window))))
     drop = np.uint64(64 - cell_bits)
 

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlens.llm.shared import arrow_map, extended, materialise
+from answerlens.llm.shared import arrow_map, extended
+from answerlens.storage import materialise
 from answerlens.llm.textstats import NAMES, matrix, stats_map, taught, with_stats
 
 BINS, ROUNDS, GUESS_ROUNDS, RATE, DECAY = 16, 60, 10, 0.05, 1e-4

@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlens.llm.exchange import pack, unpack
-from answerlens.llm.shared import arrow_map, extended, free_name, materialise
+from answerlens.llm.shared import arrow_map, extended, free_name
+from answerlens.storage import discard, materialise
 
 SPACE = "▁"
 MOST_WORDS, LONGEST, CHUNK_BYTES = 200_000, 256, 4 << 20
@@ -340,10 +341,12 @@ def encode(df: DataFrame, pieces: Pieces | None = None, text: str = "text", most
         raise ValueError(f"longest must be below {1 << PLACE_BITS}")
     pieces = pieces or Pieces.load()
     at = df.columns.index(text)
-    chunks = pack(df, text, CHUNK_BYTES).select("chunk_id", "blob")
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    chunks = pack(df, text, CHUNK_BYTES, total).select("chunk_id", "blob")
     counts = materialise(stretch_counts(chunks, at, pieces, longest), "stretches")
     known = materialise(encode_words(counts, pieces), "stretch-ids")
     least = frequent_from(counts, most_words)
+    discard(counts)
     found = known.filter(F.col("n") >= least).select("word", "ids").toArrow()
     shared = df.sparkSession.sparkContext.broadcast(StretchIds(pieces, longest, ids_by_word(found["word"], found["ids"])))
 

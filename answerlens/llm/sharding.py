@@ -15,7 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerlens.llm.shared import free_name, materialise
+from answerlens.llm.shared import free_name
+from answerlens.storage import materialise
 
 BITS, SPARE_BITS = 60, 4
 LIMIT_BYTES = 1 << 20

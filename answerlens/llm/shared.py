@@ -1,38 +1,15 @@
-"""Places in the folder that driver and executors share, and small helpers for Arrow tasks."""
+"""Small helpers for Arrow tasks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-_OWN: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="answerlens-"))
-        base = _OWN[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a written table in the shared folder: lineage is cut, and the files outlive any executor."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(wanted: str, taken: list[str]) -> str:
     """wanted, or wanted with underscores until no column (whatever its case) has that name."""
     low = {t.lower() for t in taken}
@@ -53,7 +30,11 @@ BATCH_BYTES = 8 << 20
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), in batches of 8 MB at most (but whole rows): the session's limit is lowered to that."""
+    """df.mapInArrow(run, schema), in batches of 8 MB at most (but whole rows).
+
+    The session's limit is lowered to that and stays so: Spark reads it when the result is computed, and larger batches would
+    be in memory twice, in the JVM and in the worker, before a task could slice them.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(name)
     if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES or int(now.rstrip("bB")) <= 0:
