@@ -10,7 +10,7 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlens.functions.text import cell, escaped, quoted
+from answerlens.functions.text import cell, escaped, percent, percent_range, quoted
 from answerlens.operators.goldgen import mixed
 from answerlens.operators.metrics import cause_counts, diagnostics, headline
 from answerlens.settings import Settings
@@ -23,13 +23,17 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def provenance(settings: Settings, **more: object) -> dict[str, object]:
     """What a run depends on: public settings, index version, commit and Python version, and what the caller adds."""
-    def git(*args: str) -> str:
-        try:
-            return subprocess.run(["git", *args], capture_output=True, text=True, timeout=10).stdout.strip()
-        except OSError:
-            return ""
+    commit, _, dirty = revision().partition("-")
+    return {"settings": settings.public(), "index_version": settings.index_version, "commit": commit, "dirty": bool(dirty), "python": platform.python_version(), **more}
 
-    return {"settings": settings.public(), "index_version": settings.index_version, "commit": git("rev-parse", "HEAD"), "dirty": bool(git("status", "--porcelain")), "python": platform.python_version(), **more}
+
+def revision() -> str:
+    """The commit of the working folder, with "-dirty" behind if files differ from it; empty outside a repository."""
+    try:
+        said = subprocess.check_output(("git", "describe", "--always", "--abbrev=40", "--exclude=*", "--dirty"), stderr=subprocess.DEVNULL, timeout=10)
+    except (OSError, subprocess.SubprocessError):
+        return ""
+    return said.decode().strip()
 
 
 def save_run(root: str, name: str, records: DataFrame, checks: DataFrame, scored: DataFrame, info: dict[str, object], now: datetime.datetime | None = None) -> str:
@@ -41,6 +45,7 @@ def save_run(root: str, name: str, records: DataFrame, checks: DataFrame, scored
     checks.write.parquet(f"{folder}/checks")
     scored.select("id", "group", "repeat", "score", "cause", "refusal_reason").write.json(f"{folder}/scores")
     write_text(spark, f"{folder}/run", json.dumps(info, ensure_ascii=False, indent=2, default=str))
+    failures(scored).select("id", "group", "repeat", "score", "cause", "refusal_reason").write.json(f"{folder}/failures")
     write_text(spark, f"{folder}/report", report(scored, info))
     return folder
 
@@ -51,43 +56,46 @@ def save_gold(items: DataFrame, folder: str, manifest: dict[str, object]) -> Non
     items.write.partitionBy("type").json(f"{folder}/items")
 
 
-def _shown(value: float | None) -> str:
-    return "-" if value is None else f"{value * 100:.1f}%"
-
+def failures(scored: DataFrame) -> DataFrame:
+    """Rows below 2 points: errors first, then 0, then 1, each by id."""
+    return scored.filter("score IS NULL OR score < 2").orderBy(F.coalesce("score", F.lit(-1)), "id", "repeat")
 
-def _span(low: float | None, high: float | None) -> str:
-    return "" if low is None or low == high else f" ({low * 100:.0f}–{high * 100:.0f}%)"
 
+def first_lines(rows: DataFrame, most: int, where: str) -> tuple[list, list[str]]:
+    """The first `most` rows, and a line that says how many more there are and where."""
+    shown = rows.limit(most).collect()
+    more = rows.count() - len(shown) if len(shown) == most else 0
+    return shown, [f"- and {more} more, in {where}"] if more else []
 
-def failures(scored: DataFrame, most: int = 200) -> DataFrame:
-    """Rows below 2 points: errors first, then 0, then 1, each by id; a report shows `most` of them."""
-    return scored.filter("score IS NULL OR score < 2").orderBy(F.coalesce("score", F.lit(-1)), "id", "repeat").limit(most)
 
-
-def report(scored: DataFrame, info: dict[str, object]) -> str:
-    """Markdown of a run: headline, diagnostics, causes and failures."""
+def report(scored: DataFrame, info: dict[str, object], most: int = 200) -> str:
+    """Markdown of a run: headline, diagnostics, causes and the first `most` failures; save_run() writes all of them beside it."""
     lines = [f"# {info.get('name', 'run')}", "", "| group | n | errors | safety | usefulness | 0 | 1 | 2 |", "|---|---|---|---|---|---|---|---|"]
-    rows = {r["group"]: r for r in headline(scored).collect()}
+    shown = [F.concat(percent(F.col(c)), percent_range(F.col(f"{c}_min"), F.col(f"{c}_max"))).alias(c) for c in ("safety", "usefulness")]
+    rows = {r["group"]: r for r in headline(scored).select("group", "n", "errors", *shown, "score_0", "score_1", "score_2").collect()}
     for name in ("quant", "qual", "negative", "total"):
         r = rows[name]
-        lines.append(f"| {name} | {r.n} | {r.errors} | {_shown(r.safety)}{_span(r.safety_min, r.safety_max)} | {_shown(r.usefulness)}{_span(r.usefulness_min, r.usefulness_max)} | {r.score_0} | {r.score_1} | {r.score_2} |")
+        lines.append(f"| {name} | {r.n} | {r.errors} | {r.safety} | {r.usefulness} | {r.score_0} | {r.score_1} | {r.score_2} |")
     lines += ["", "| diagnostic | value |", "|---|---|", *[f"| {k} | {'-' if v is None else v} |" for k, v in diagnostics(scored).first().asDict().items()]]
     lines += ["", "| cause | n |", "|---|---|", *[f"| {r.cause} | {r.n} |" for r in cause_counts(scored).collect()], "", "## Failures", ""]
-    lines += [f"- {'error' if r.score is None else r.score} {r.id} (repeat {r['repeat']}): {r.cause}{' / ' + r.refusal_reason if r.refusal_reason else ''}" for r in failures(scored).collect()]
-    return "\n".join(lines) + "\n"
+    failed, more = first_lines(failures(scored), most, "failures")
+    lines += [f"- {'error' if r.score is None else r.score} {r.id} (repeat {r['repeat']}): {r.cause}{' / ' + r.refusal_reason if r.refusal_reason else ''}" for r in failed]
+    return "\n".join([*lines, *more]) + "\n"
 
 
-def comparison(before: DataFrame, after: DataFrame, groups: DataFrame, changed: DataFrame, same_gold: bool) -> str:
-    """Markdown of two runs: changes of groups in points, diagnostics side by side, and items that changed."""
+def comparison(before: DataFrame, after: DataFrame, groups: DataFrame, changed: DataFrame, same_gold: bool, most: int = 200) -> str:
+    """Markdown of two runs: changes of groups in points, diagnostics side by side, and items that changed (`most` of a kind,
+    and how many more there are in `changed`)."""
     lines = [] if same_gold else ["> The runs were scored on different gold sets.", ""]
     lines += ["| group | safety | usefulness |", "|---|---|---|"]
     points = lambda x: "-" if x is None else f"{x:+.1f} pp"
-    lines += [f"| {r['group']} | {_shown(r.safety_a)} → {_shown(r.safety_b)} ({points(r.safety_points)}) | {_shown(r.usefulness_a)} → {_shown(r.usefulness_b)} ({points(r.usefulness_points)}) |" for r in groups.orderBy("group").collect()]
+    both = [F.concat(percent(F.col(f"{c}_a")), F.lit(" → "), percent(F.col(f"{c}_b"))).alias(c) for c in ("safety", "usefulness")]
+    lines += [f"| {r['group']} | {r.safety} ({points(r.safety_points)}) | {r.usefulness} ({points(r.usefulness_points)}) |" for r in groups.select("group", *both, "safety_points", "usefulness_points").orderBy("group").collect()]
     a, b = (diagnostics(x).first().asDict() for x in (before, after))
     lines += ["", "| diagnostic | before | after |", "|---|---|---|", *[f"| {k} | {a[k]} | {b[k]} |" for k in a]]
     for kind in ("improved", "regressed"):
-        ids = [r.id for r in changed.filter(F.col("change") == kind).orderBy("id").limit(200).collect()]
-        lines += ["", f"{kind}: {', '.join(ids) or '-'}"]
+        ids, more = first_lines(changed.filter(F.col("change") == kind).select("id").orderBy("id"), most, "the table of changes")
+        lines += ["", f"{kind}: {', '.join(r.id for r in ids) or '-'}", *more]
     return "\n".join(lines) + "\n"
 
 
@@ -119,15 +127,16 @@ def sheet_block(record: DataFrame) -> DataFrame:
 
 
 def review(items: DataFrame, most: int = 1000) -> str:
-    """Markdown for the review of drafts, `most` of them."""
+    """Markdown for the review of drafts: `most` of them, and how many more there are."""
     out = []
-    for r in items.orderBy("type", "id").limit(most).collect():
+    rows, more = first_lines(items.orderBy("type", "id"), most, "items")
+    for r in rows:
         out += [f"## {r.id} ({r.type})", "", r.question or "", ""]
         out += [f"- answer: {r.answer}"] if r.answer else []
         out += [f"- point: {p.point} — {'; '.join(p.facts or [])}" for p in r.must_include or []]
         out += [f"- evidence: {e.document_id} {'p.' + str(e.page) if e.page is not None else ''} {e.quote or ''}" for e in r.evidence or []]
         out.append("")
-    return "\n".join(out)
+    return "\n".join([*out, *more])
 
 
 def event_frames(events: DataFrame) -> DataFrame:

@@ -44,6 +44,45 @@ def test_settings(tmp_path):
     assert "api_key" not in base.public() and "temperature" not in base.sampling("low")
 
 
+def test_overrides_are_checked(tmp_path):
+    import pytest
+
+    assert experiment_overrides(None, [" TOP_K = 3 ", "top_k=4"]) == {"top_k": "4"}
+    for bad, error in (("top_k", ValueError), ("=3", ValueError), ("nothing=3", KeyError)):
+        with pytest.raises(error):
+            experiment_overrides(None, [bad])
+
+
+def test_chunks_by_definition():
+    """Every chunk against its definition, sizes taken of joined texts."""
+    import random
+
+    r = random.Random(6)
+    for _ in range(300):
+        texts = ["".join(r.choice(["ab", "c", " ", ". ", "\n", "\n\n", "x1,", "e"]) for _ in range(r.randrange(1, 60))) for _ in range(r.randrange(1, 4))]
+        limit, overlap = r.randrange(1, 12), r.randrange(0, 6)
+        items = [x for t in texts for cut in [H.pieces(t, limit)] for x in [*cut[:-1], (cut[-1] if cut else "") + "\n"]]
+        size = lambda a, b: H.count_words("".join(items[a:b]))  # noqa: E731, B023
+        found = H.spans(H.Ruler(items, H.count_words), len(items), limit, overlap)
+        assert found[0][0] == 0 and found[-1][1] == len(items)
+        for (a, b), (c, d) in zip(found, [*found[1:], (None, None)]):
+            assert b - a == 1 or size(a, b) <= limit
+            if c is not None:
+                assert size(a, b + 1) > limit and a <= c <= b < d
+                fits = [k for k in range(a, b + 1) if size(k, b) <= overlap and (k == b or size(k, b + 1) <= limit)]
+                assert c == min(fits)
+
+
+def test_chunks_take_linear_time():
+    import time
+
+    for text in ("word " * 32_000, "One sentence, here. " * 10_000):
+        for limit in (200, 8000):
+            began = time.process_time()
+            assert H.split_pages([(1, text)], limit, limit // 8)
+            assert time.process_time() - began < 3
+
+
 def test_pieces_and_chunks(spark):
     text = "One sentence here. " * 30
     got = H.pieces(text, 20)
