@@ -6,7 +6,7 @@ radius + 1 bits) keeps the bits i with <m(i), v> odd. The vectors of up to `radi
 bits, always. 31 tables of about 32 bits serve radius 4.
 
 Only distinct fingerprints are hashed to tables. In a bucket, a breadth-first walk compares whole fingerprints and emits
-a spanning forest of its links, never all pairs. Components come from alternating large-star and small-star rounds, each
+a spanning forest of its links, never all pairs; a large bucket is first split by stretches of bits that links must share. Components come from alternating large-star and small-star rounds, each
 written to the shared folder.
 """
 
@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlens.llm.shared import arrow_map, as_bytes, extended, free_name
-from answerlens.storage import materialise
+from answerlens.storage import discard, materialise
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
+#: Fingerprints of a bucket beyond which it is compared in parts, and ids that are broadcast (8 bytes each).
+LARGE, MOST_IDS = 2048, 4_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -79,6 +81,18 @@ def forest(prints: np.ndarray, nodes: np.ndarray, radius: int) -> Iterator[tuple
                 queue.extend(hit.tolist())
 
 
+def stretches(prints: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """Groups of a large bucket that together hold each pair within the radius: fingerprints that agree in one of radius + 1
+    stretches of bits, as such a pair must."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        value = (prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        order = np.argsort(value, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+            if len(group) > 1:
+                yield group
+
+
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """(a, b): links between nodes (fp, rep) that connect all fingerprints within the radius."""
     bucket = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("table", "bucket")
@@ -96,7 +110,9 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
             near = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius]
             found = [(reps[near], reps[near + 1])]
             for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                found += forest(prints[s : s + n], reps[s : s + n], radius)
+                own, rep = prints[s : s + n], reps[s : s + n]
+                for group in stretches(own, radius) if n > LARGE else (np.arange(n),):
+                    found += forest(own[group], rep[group], radius)
             a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             if len(a):
                 yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
@@ -119,22 +135,26 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     return arrow_map(dealt, run, "a long, b long").filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each component, for every node of (a, b) links but the roots."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each component, for every node of (a, b) links but the roots.
+
+    Rounds go on until nothing changes; their number grows with the logarithm of a component's size. Each replaces the
+    table of the last, whose files go.
+    """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     told = None
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low).distinct()
-        now = materialise(small, "stars")
+        last, now = now, materialise(small, "stars")
+        discard(last)
         tale = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if tale == told:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         told = tale
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
 def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -183,11 +203,22 @@ def simhash_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
 
 
 def firsts(df: DataFrame, groups: DataFrame, doc_id: str) -> DataFrame:
-    """The rows of df that simhash_dedup keeps, given the groups."""
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(free_name("keep_id", df.columns))).distinct()
-    name = keep.columns[0]
-    kept = df.join(keep, df[doc_id].cast("long") == keep[name], "left_semi")
+    """The rows of df that simhash_dedup keeps, given the groups.
+
+    The ids to leave out are broadcast if there are MOST_IDS at most, so that texts move only where a doc_id repeats.
+    """
+    told = materialise(groups.select("doc_id", "component_id").filter("doc_id IS NOT NULL"), "groups")
+    name = free_name("other_id", df.columns)
+    lost = told.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    again = told.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(name))
+    sized = lambda ids: F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
+    same = df[doc_id].cast("long") == F.col(name)
+    kept = df.join(sized(lost), same, "left_anti")
+    if not again.take(1):
+        return kept
+    again = sized(again)
     rest = [c for c in df.columns if c != doc_id]
     row = free_name("row", df.columns)
-    one = kept.groupBy(doc_id).agg(F.min(F.struct(*rest)).alias(row)).select(*[doc_id if c == doc_id else F.col(f"{row}.{c}") for c in df.columns])
-    return one.unionByName(df.filter(df[doc_id].isNull()))
+    many = kept.join(again, same, "left_semi").groupBy(doc_id).agg(F.min(F.struct(*rest)).alias(row))
+    one = many.select(*[doc_id if c == doc_id else F.col(f"{row}.{c}") for c in df.columns])
+    return kept.join(again, same, "left_anti").unionByName(one)

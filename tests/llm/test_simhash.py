@@ -3,7 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from answerlens.llm.simhash import components, fingerprint, forest, masks, simhash_dedup, simhash_digest
+from answerlens.llm.simhash import components, fingerprint, forest, masks, simhash_dedup, simhash_digest, simhash_groups
 
 
 def plain(text):
@@ -93,3 +93,39 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)]
     got = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 1) for i in range(2, 41)} | {(x, 100) for x in range(101, 160)}
+
+
+def test_a_large_bucket_of_unrelated_fingerprints(spark):
+    """100,000 fingerprints that agree in the bits of one table: every link is found, in seconds."""
+    import time
+
+    import numpy as np
+
+    from answerlens.llm.simhash import forest, masks, stretches
+
+    r = np.random.default_rng(8)
+    free = np.uint64(~masks(4)[0] & (2**64 - 1))
+    prints = np.unique(r.integers(0, 2**63, 100_000, np.uint64) * np.uint64(2) & free)
+    near = prints[:500] ^ np.uint64(sum(1 << i for i in [k for k in range(64) if int(free) >> k & 1][:4]))
+    prints = np.concatenate([prints, near])
+    began = time.process_time()
+    found = {frozenset(x) for g in stretches(prints, 4) for a, b in forest(prints[g], g, 4) for x in zip(a.tolist(), b.tolist())}
+    assert time.process_time() - began < 60
+    root = list(range(len(prints)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in map(sorted, found):
+        assert int(prints[a] ^ prints[b]).bit_count() <= 4
+        root[top(b)] = top(a)
+    assert all(top(i) == top(len(prints) - 500 + i) for i in range(500))
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e", 7, "x"), (2, "a b c d e", 8, "y"), (2, "z y x w", 9, "z"), (None, "a b c d e", 1, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, FP int, other_ID string")
+    assert sorted((r.doc_id or 0, r.FP) for r in simhash_dedup(df).collect()) == [(0, 1), (1, 7)]
+    assert simhash_groups(df).columns == ["doc_id", "fp", "component_id"]
