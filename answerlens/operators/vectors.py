@@ -1,8 +1,8 @@
 """Cosine nearest neighbours, exact.
 
-Questions are scored against chunks in Arrow batches by one matrix product each, and a batch emits its own best k, so no
-more than k rows a question leave a task; a window ranks what is left. Questions go out in blocks of a checked number,
-one pass over the chunks for each, so a broadcast never exceeds a block.
+Questions are scored against chunks in Arrow batches, a tile of questions by one matrix product each. A task keeps the best
+k of all its batches, so no more than k rows a question leave it; a window ranks what is left. Questions go out in blocks of
+a checked number, one pass over the chunks for each, so a broadcast never exceeds a block.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Questions of a broadcast, and of a matrix product.
+BLOCK, TILE = 4096, 256
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -52,25 +53,49 @@ def nearest(questions: DataFrame, chunks: DataFrame, k: int, question_id: str =
     return found.withColumn("ref", F.row_number().over(order)).filter(F.col("ref") <= k).select(F.col("q").alias(question_id), "ref", F.col("c").alias(chunk_id), "score")
 
 
+def _keep_best(best: np.ndarray, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    """Puts the best of old and new scores into best and who, a row each, equal scores by the smaller id.
+
+    Only scores that reach the k-th are sorted.
+    """
+    k = best.shape[1]
+    both = np.concatenate([best, scores], axis=1)
+    least = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k]
+    row, at = np.nonzero((both >= least[:, None]) & (both > -np.inf))
+    score = both[row, at]
+    old = at < k
+    chunk = np.where(old, who[row, np.where(old, at, 0)], ids[np.where(old, 0, at - k)])
+    order = np.lexsort((chunk, -score, row))
+    row, score, chunk = row[order], score[order], chunk[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < k
+    best[row[kept], place[kept]], who[row[kept], place[kept]] = score[kept], chunk[kept]
+
+
 def _score(part: pa.Table, pool: DataFrame, k: int, digits: int, exclude_self: bool) -> DataFrame:
     ids = part.column("q").to_numpy()
     matrix = unit(np.array(part.column("v").to_pylist(), np.float64).reshape(len(ids), -1)) if len(ids) else np.zeros((0, 1))
     shared = pool.sparkSession.sparkContext.broadcast((ids, matrix))
+    none = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, m = shared.value
+        best, who = np.full((len(asked), k), -np.inf), np.full((len(asked), k), none)
         for batch in batches:
-            if not batch.num_rows or not len(asked):
+            if not batch.num_rows:
                 continue
             c = batch.column(0).to_numpy()
-            scores = np.round(m @ unit(_matrix(batch.column(1))).T, digits) + 0.0
-            if exclude_self:
-                scores[asked[:, None] == c[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(c, scores.shape), -scores), axis=1)[:, :k] if len(c) > k else np.broadcast_to(np.arange(len(c)), scores.shape)
-            q = np.repeat(np.arange(len(asked)), order.shape[1])
-            flat, s = c[order.ravel()], scores[q, order.ravel()]
-            real = s > -np.inf
-            yield pa.record_batch([pa.array(asked[q][real]), pa.array(flat[real]), pa.array(s[real])], names=["q", "c", "score"])
+            columns = unit(_matrix(batch.column(1))).T
+            for start in range(0, len(asked), TILE):
+                tile = slice(start, start + TILE)
+                scores = np.round(m[tile] @ columns, digits) + 0.0
+                if exclude_self:
+                    scores[asked[tile, None] == c[None, :]] = -np.inf
+                _keep_best(best[tile], who[tile], scores, c)
+        q, place = np.nonzero(best > -np.inf)
+        for start in range(0, len(q), 1 << 16):
+            rows, at = q[start : start + (1 << 16)], place[start : start + (1 << 16)]
+            yield pa.record_batch([pa.array(asked[rows]), pa.array(who[rows, at]), pa.array(best[rows, at])], names=["q", "c", "score"])
 
     return pool.mapInArrow(run, "q long, c long, score double")
 

@@ -90,38 +90,73 @@ def retried(call: Callable[[], T], attempts: int = 4, wait: float = 1.0, of: tup
     raise AssertionError
 
 
-def embedded(df: DataFrame, text: str, embedder: Embedder, batch: int = 64, name: str = "embedding") -> DataFrame:
-    """df with a vector of each text. Calls hold `batch` texts; answers are put in order and checked for number and size."""
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` array<float>").fields])
+def said(error: Exception, most: int) -> str:
+    """What a table says of an error: its kind and its words, `most` characters at most."""
+    return f"{type(error).__name__}: {error}"[:most]
+
+
+def embedded(df: DataFrame, text: str, embedder: Embedder, batch: int = 64, name: str = "embedding", failure: str = "") -> DataFrame:
+    """df with a vector of each text. Calls hold `batch` texts; answers are put in order and checked for number and size.
+
+    An error raises. With a column name in `failure` it goes there instead, beside a null vector: a batch that fails is
+    asked again text by text, so that a bad text costs no other its vector.
+    """
+    added = f"`{name}` array<float>" + (f", `{failure}` string" if failure else "")
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
     at = df.columns.index(text)
 
+    def ask(texts: list[str]) -> list[list[float]]:
+        found = dict(retried(lambda: embedder.embed(texts)))
+        vectors = [found.get(i) for i in range(len(texts))]
+        if len(found) != len(texts) or any(v is None or len(v) != embedder.dim for v in vectors):
+            raise ValueError("the embedder's answer has another number or size of vectors")
+        return vectors
+
+    def ask_each(texts: list[str]) -> Iterator[tuple[list[float] | None, str | None]]:
+        for t in texts:
+            try:
+                yield ask([t])[0], None
+            except Exception as e:
+                yield None, said(e, 120)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, batch):
                 part = b.slice(start, batch)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                found = dict(retried(lambda texts=texts: embedder.embed(texts)))
-                vectors = [found.get(i) for i in range(len(texts))]
-                if len(found) != len(texts) or any(v is None or len(v) != embedder.dim for v in vectors):
-                    raise ValueError("the embedder's answer has another number or size of vectors")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*part.schema.names, name])
+                try:
+                    vectors, errors = ask(texts), [None] * len(texts)
+                except Exception:
+                    if not failure:
+                        raise
+                    vectors, errors = map(list, zip(*ask_each(texts), strict=True))
+                new = [pa.array(vectors, pa.list_(pa.float32()))] + [pa.array(errors, pa.string())] * bool(failure)
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, name] + [failure] * bool(failure))
 
     return df.mapInArrow(run, schema)
 
 
 def generated(prompts: DataFrame, generator: Generator) -> DataFrame:
-    """(request_id, seq, text, prompt_tokens, completion_tokens): deltas of each prompt (request_id, system, user)."""
+    """(request_id, seq, text, prompt_tokens, completion_tokens, latency_ms, error): deltas of each prompt (request_id, system,
+    user). The last row of a prompt has the numbers and no text; where the call failed it is the only one and has the error."""
+    kinds = {"request_id": pa.string(), "seq": pa.int64(), "text": pa.string(), "prompt_tokens": pa.int64(), "completion_tokens": pa.int64(), "latency_ms": pa.int64(), "error": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                parts, used, made = retried(lambda r=r: generator.generate(r["system"], r["user"]))
-                rows += [(r["request_id"], i, p, None, None) for i, p in enumerate(parts)] + [(r["request_id"], len(parts), None, used, made)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["request_id", "seq", "text", "prompt_tokens", "completion_tokens"])
+                began, parts, used, made, error = time.monotonic(), [], None, None, None
+                try:
+                    parts, used, made = retried(lambda r=r: generator.generate(r["system"], r["user"]))
+                except Exception as e:
+                    error = said(e, 300)
+                took = max(1, round((time.monotonic() - began) * 1000))
+                rows += [(r["request_id"], i, p, None, None, None, None) for i, p in enumerate(parts)] + [(r["request_id"], len(parts), None, used, made, took, error)]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
-    return prompts.select(F.col("request_id").cast("string").alias("request_id"), "system", "user").mapInArrow(run, "request_id string, seq long, text string, prompt_tokens long, completion_tokens long")
+    schema = "request_id string, seq long, text string, prompt_tokens long, completion_tokens long, latency_ms long, error string"
+    return prompts.select(F.col("request_id").cast("string").alias("request_id"), "system", "user").mapInArrow(run, schema)
 
 
 def judged(requests: DataFrame, judge: Judge, repeats: int = 2) -> DataFrame:
@@ -136,9 +171,9 @@ def judged(requests: DataFrame, judge: Judge, repeats: int = 2) -> DataFrame:
             for r in b.to_pylist():
                 asked = [(c["check_id"], c["kind"], c["target"]) for c in r["checks"]]
                 for n in range(repeats):
-                    said, tokens = retried(lambda r=r, asked=asked: judge.ask(r["answer"], r["sources"], asked), attempts=3)
+                    votes, tokens = retried(lambda r=r, asked=asked: judge.ask(r["answer"], r["sources"], asked), attempts=3)
                     for i, (check_id, kind, target) in enumerate(asked):
-                        v = said[check_id]
+                        v = votes[check_id]
                         grade = list(v.items()) if isinstance(v, dict) else None
                         rows.append((r["id"], r["repeat"], check_id, kind, target, n, None if grade else float(v), grade, 0 if i else tokens))
             cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)

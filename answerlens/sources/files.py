@@ -40,11 +40,19 @@ def extract(files: DataFrame, extractor: str = "generic") -> DataFrame:
     raise ValueError(f"{extractor} works on layouts: use layout_pages()")
 
 
-def layout_pages(layout: DataFrame) -> DataFrame:
+def layout_text(layout: DataFrame) -> DataFrame:
+    """(document_id, title, page, text): the lines of each page of layout rows in order, cleaned; pages without text stay."""
+    title = F.regexp_replace("document_id", r"\.[^.]*$", "")
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line", "text"))), lambda x: x["text"]), "\n")
+    return layout.groupBy("document_id", "page").agg(clean(lines, normalise=True).alias("text")).select("document_id", title.alias("title"), "page", "text")
+
+
+def layout_pages(layout: DataFrame, strict: bool = True) -> DataFrame:
     """Pages of the policy template from layout rows (document_id, page, height, block, line, y0, text).
 
     Pages with the marker are kept; the chapter is carried forward over all pages; single lines at the top give the
-    ministry, those between dashes the title, the foot gives the printed number. A page without one of these raises.
+    ministry, those between dashes the title, the foot gives the printed number. A page without one of these raises, or, if not strict,
+    says so in another column, problem.
     """
     by_page = layout.groupBy("document_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line", "text"))), lambda x: x["text"]), "\n").alias("raw"), F.max("height").alias("height"))
     number, name = (F.regexp_extract("raw", CHAPTER, g) for g in (1, 2))
@@ -71,8 +79,9 @@ def layout_pages(layout: DataFrame) -> DataFrame:
     )
     text = label_lines(F.col("joined"))
     failed = F.col("printed_page").isNull() | F.col("ministry").isNull() | F.col("title").isNull()
-    checked = F.when(failed, F.raise_error(F.format_string("page %d: no printed number, ministry or title", "page"))).otherwise(text)
-    return out.withColumn("text", checked).drop("joined").withColumns({"effective": effective_date(F.col("text")), "tags": hashtags(F.col("text"))})
+    problem = F.when(failed, F.format_string("page %d: no printed number, ministry or title", "page"))
+    out = out.withColumn("text", F.when(failed, F.raise_error(problem)).otherwise(text)) if strict else out.withColumns({"text": text, "problem": problem})
+    return out.drop("joined").withColumns({"effective": effective_date(F.col("text")), "tags": hashtags(F.col("text"))})
 
 
 def items(spark: SparkSession, folder: str, files: list[str]) -> DataFrame:

@@ -175,3 +175,82 @@ def test_draft_gold(spark):
     assert validate(full).filter("size(errors) > 0").count() == 0
     again, _ = draft_gold(pages, SentenceDrafter(), 3, 2, 2, seed=1, window_tokens=60)
     assert sorted(r.id for r in again.collect()) == sorted(r.id for r in items.collect())
+
+
+def test_failures_stay_with_their_file_and_question(spark, corpus):
+    class Refusing(WordEmbedder):
+        """Refuses texts that hold a word."""
+
+        def embed(self, texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError("refused " + "x" * 200)
+            return super().embed(texts)
+
+    class Failing(FirstSourceGenerator):
+        def generate(self, system, user):
+            if "ferry" in user.rsplit("[Question]", 1)[1]:
+                raise RuntimeError("no answer today")
+            return super().generate(system, user)
+
+    (corpus / "in/bad.txt").write_text("This text has poison in it.")
+    catalog = Catalog(spark, str(corpus / "store"))
+    load = lambda s=SETTINGS, e=None, **k: {r.document_id: r for r in ingest_files(spark, [str(corpus / "in")], catalog, e or Refusing(), s, **k).collect()}
+    first = load()
+    assert {d: r.status for d, r in first.items()} == {"a.md": "ingested", "b.txt": "ingested", "bad.txt": "failed", "c.png": "unsupported"}
+    assert first["bad.txt"].note.startswith("RuntimeError: refused") and len(first["bad.txt"].note) == 120 and first["bad.txt"].chunks == 0
+    assert {r.id for r in catalog.documents().collect()} == {"a.md", "b.txt"} and catalog.chunks().filter("embedding IS NULL").count() == 0
+    assert load()["bad.txt"].status == "failed"  # tried again
+    (corpus / "in/a.md").write_text("Now with poison.")
+    assert load()["a.md"].status == "failed" and catalog.chunks().filter("document_id = 'a.md' AND content LIKE '%ferry%'").count() == 1
+    (corpus / "in/a.md").write_text("The ferry leaves at nine. It costs twenty coins.")
+
+    policy = load(SETTINGS.replaced({"chunker": "policy"}))
+    assert {r.status for d, r in policy.items() if d != "c.png"} == {"failed"} and "policy template" in policy["b.txt"].note
+
+    items = rows(spark, ITEMS, [
+        dict(id="f", type="quant", question="When does the ferry leave?", status="approved", provenance="p", answer="nine", evidence=[dict(document_id="a.md", page=None, quote="leaves at nine")]),
+        dict(id="p", type="quant", question="Is there poison?", status="approved", provenance="p", answer="no", evidence=[dict(document_id="a.md", page=None, quote="x")]),
+        dict(id="s", type="quant", question="How often do solar panels need cleaning?", status="approved", provenance="p", answer="twice", evidence=[dict(document_id="b.txt", page=None, quote="twice a year")]),
+    ])
+    records, _, scored = evaluate(items, catalog, Refusing(), Failing(), WordJudge(), SETTINGS)
+    got = {r.id: r for r in records.collect()}
+    assert {i: r.status for i, r in got.items()} == {"f": "error", "p": "error", "s": "answered"}
+    assert got["f"].error == "RuntimeError: no answer today" and got["p"].error.startswith("RuntimeError: refused") and len(got["p"].error) <= 300
+    assert got["s"].latency_ms >= 1 and got["s"].error is None and got["p"].latency_ms is None
+    assert {r.id: (r.score, r.cause) for r in scored.filter("status = 'error'").collect()} == {"f": (None, "execution_error"), "p": (None, "execution_error")}
+    assert evaluate(items, catalog, WordEmbedder(), FirstSourceGenerator(), WordJudge(), SETTINGS, first=2)[0].select("id").distinct().count() == 2
+
+
+def test_ingest_of_layouts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/book.pdf").write_bytes(b"%PDF-1.7 x")
+    (tmp_path / "in/odd.pdf").write_bytes(b"%PDF-1.7 y")
+    (tmp_path / "in/plain.txt").write_text("Some words of text.")
+    lines = [(1, 0, 20.0, "기획부"), (1, 1, 60.0, "- 새 정책 -"), (1, 2, 90.0, "추진배경"), (1, 3, 100.0, "이유가 있다."), (1, 4, 780.0, "57 안내")]
+    layouts = spark.createDataFrame([("book.pdf", p, 800.0, b, 0, y, t) for p, b, y, t in lines], "document_id string, page int, height double, block int, line int, y0 double, text string")
+    catalog = Catalog(spark, str(tmp_path / "store"))
+    load = lambda s: {r.document_id: r for r in ingest_files(spark, [str(tmp_path / "in")], catalog, WordEmbedder(), s, layouts=layouts).collect()}
+    book = load(SETTINGS.replaced({"extractor": "policy_book", "chunker": "policy"}))
+    assert {d: r.status for d, r in book.items()} == {"book.pdf": "ingested", "odd.pdf": "failed", "plain.txt": "failed"}
+    assert "no layout" in book["odd.pdf"].note and "needs a PDF" in book["plain.txt"].note
+    chunk = catalog.chunks().first()
+    assert (chunk.document_id, chunk.page_start, chunk.meta.title, chunk.meta.ministry, chunk.meta.printed_page) == ("book.pdf", 1, "새 정책", "기획부", 57)
+    assert catalog.documents().first().page_count == 1
+    plain = load(SETTINGS)
+    assert {d: r.status for d, r in plain.items()} == {"book.pdf": "ingested", "odd.pdf": "failed", "plain.txt": "ingested"}
+    assert "이유가 있다." in catalog.chunks().filter("document_id = 'book.pdf' AND meta.title IS NULL").first().content
+
+
+def test_best_of_a_task():
+    import numpy as np
+
+    from answerlens.operators.vectors import _keep_best
+
+    rng = np.random.default_rng(1)
+    scores, ids = np.round(rng.random((7, 90)), 1), rng.permutation(90)
+    best, who = np.full((7, 5), -np.inf), np.full((7, 5), np.iinfo(np.int64).max)
+    for start in range(0, 90, 13):
+        _keep_best(best, who, scores[:, start : start + 13], ids[start : start + 13])
+    for q in range(7):
+        want = sorted(zip(-scores[q], ids))[:5]
+        assert [(-s, int(c)) for s, c in want] == list(zip(best[q], who[q].tolist()))
