@@ -101,8 +101,10 @@ def label_sheet(lines: DataFrame, text: str = "value") -> DataFrame:
     raises.
     """
     cells = F.transform(F.split(F.col(text), r"(?<!\\)\|", -1), strip)
-    rows = lines.select(cells.alias("c")).filter((F.size("c") >= 6) & F.col("c")[1].rlike(r"^[^#\s]+#[A-Za-z0-9_]+$"))
-    verdict = F.upper(F.element_at("c", -3))
-    known = F.when(verdict.isin("O", "X", "?", "0", "1", "2"), verdict).otherwise(F.raise_error(F.concat(F.lit("verdict out of place: "), F.col("c")[1], F.lit(" "), verdict)))
+    key, at = F.get("c", F.lit(1)), lambda n: F.get("c", F.size("c") - n)
+    rows = lines.select(cells.alias("c")).filter((F.size("c") >= 6) & key.rlike(r"^[^#\s]+#[A-Za-z0-9_]+$"))
+    verdict = F.upper(at(3))
+    known = F.when(verdict.isin("O", "X", "?", "0", "1", "2"), verdict).otherwise(F.raise_error(F.concat(F.lit("verdict out of place: "), key, F.lit(" "), verdict)))
     rows = rows.filter(verdict != "")
-    return rows.select(F.split(F.col("c")[1], "#")[0].alias("id"), F.split(F.col("c")[1], "#")[1].alias("check_id"), known.alias("verdict"), F.replace(F.element_at("c", -2), F.lit("\\|"), F.lit("|")).alias("memo"))
+    of_key = lambda i: F.get(F.split(key, "#"), F.lit(i))
+    return rows.select(of_key(0).alias("id"), of_key(1).alias("check_id"), known.alias("verdict"), F.replace(at(2), F.lit("\\|"), F.lit("|")).alias("memo"))

@@ -115,6 +115,31 @@ def sheet_rows(records: DataFrame, checks: DataFrame, support_n: int = 30, seed:
     return chosen.join(answered, ["id", "repeat"]).select(section.alias("section"), "id", "check_id", line.alias("line"))
 
 
+SECTIONS = {1: "Facts and wrong statements", 2: "Values", 3: "Grades", 4: "Support of sentences (a sample)"}
+
+
+def label_lines(records: DataFrame, checks: DataFrame, support_n: int = 30, seed: int = 7) -> DataFrame:
+    """(section, id, place, value): the lines of a label sheet for one repeat's records.
+
+    Each section has a heading with its number of rows, then a block and a table for each record.
+    """
+    rows = sheet_rows(records, checks, support_n, seed)
+    at = lambda df, id, place, value: df.select("section", id.alias("id"), place.alias("place"), value.alias("value"))
+    none = F.lit("")
+    title = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])[F.col("section")]
+    heads = at(section_counts(rows), none, none, F.format_string("\n## %d. %s (%d)\n", "section", title, "n"))
+    blocks = rows.select("section", "id").distinct().join(sheet_block(records), "id")
+    table = F.lit("\n| key | kind | what | verdict | memo |\n|---|---|---|---|---|")
+    lines = at(rows, F.col("id"), F.concat(F.lit(" "), "check_id"), F.col("line"))
+    return heads.unionByName(at(blocks, F.col("id"), none, F.concat(F.lit("\n"), "block", F.lit("\n"), table))).unionByName(lines)
+
+
+def save_label_sheet(records: DataFrame, checks: DataFrame, path: str, repeat: int = 0, support_n: int = 30, seed: int = 7) -> None:
+    """The label sheet of one repeat as text, its lines in order over all part files; an existing path raises."""
+    of = lambda df: df.filter(F.col("repeat") == repeat)
+    label_lines(of(records), of(checks), support_n, seed).orderBy("section", "id", "place").select("value").write.text(path)
+
+
 def section_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("section").agg(F.count("*").alias("n"))
 

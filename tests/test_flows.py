@@ -254,3 +254,43 @@ def test_best_of_a_task():
     for q in range(7):
         want = sorted(zip(-scores[q], ids))[:5]
         assert [(-s, int(c)) for s, c in want] == list(zip(best[q], who[q].tolist()))
+
+
+def test_command_line(spark, corpus, capsys):
+    import json
+
+    from answerlens.cli import main
+
+    root, at = str(corpus), ["--set", "embed_dim=64"]
+    for n in range(12):
+        (corpus / f"in/n{n}.txt").write_text(f"The office number {n} opens at {10 + n} on weekdays. Visitors need a pass from the front desk. Bags are checked twice.")
+    assert main([*at, "ingest", f"{root}/store", f"{root}/in"]) == 0
+    gold = [
+        dict(id="f", type="quant", question="When does the ferry leave?", status="approved", provenance="p", answer="nine", evidence=[dict(document_id="a.md", page=None, quote="leaves at nine")]),
+        dict(id="g", type="quant", question="How often do solar panels need cleaning?", status="approved", provenance="p", answer="twice", evidence=[dict(document_id="b.txt", page=None, quote="twice a year")]),
+    ]
+    (corpus / "gold.jsonl").write_text("\n".join(json.dumps(g) for g in gold))
+    runs = ["--runs", f"{root}/runs"]
+    assert main([*at, "run", f"{root}/store", root, "gold.jsonl", *runs, "--name", "one", "--repeats", "2"]) == 0
+    assert main([*at, "run", f"{root}/store", root, "gold.jsonl", *runs, "--name", "few", "--limit", "1"]) == 0
+    one, few = (next((corpus / "runs").glob(f"*_{n}")) for n in ("one", "few"))
+    assert [S.run_tables(spark, str(x))[0].count() for x in (one, few)] == [4, 1]
+    assert main([*at, "rejudge", str(one), root, "gold.jsonl", *runs]) == 0
+    again = next((corpus / "runs").glob("*_rejudge"))
+    assert S.run_tables(spark, str(again))[1].count() == S.run_tables(spark, str(one))[1].count()
+    assert main([*at, "compare", str(one), str(again), root, "gold.jsonl", "--out", f"{root}/compared"]) == 0
+    assert main([*at, "rescore", str(one), root, "gold.jsonl"]) == 0
+    assert main([*at, "label-sheet", str(one), f"{root}/sheet"]) == 0
+    lines = [r.value for r in spark.read.text(f"{root}/sheet").collect()]
+    assert any(x.startswith("## 2. Values (2)") for x in lines) and sum(x.startswith("| f#value |") for x in lines) == 1
+    filled = [x.replace(" |  |  |", " | O |  |") if "#value |" in x else x for x in lines]
+    (corpus / "filled.md").write_text("\n".join(filled))
+    capsys.readouterr()
+    assert main([*at, "calibrate", str(one), f"{root}/filled.md"]) == 0
+    assert "value" in capsys.readouterr().out
+    assert main([*at, "generate", f"{root}/drafts", f"{root}/in", "--quant", "2", "--qual", "1", "--traps", "1"]) == 0
+    assert spark.read.json(f"{root}/drafts/items").filter("status <> 'draft'").count() == 0
+    with pytest.raises(Exception, match="already exists|EXISTS"):
+        main([*at, "generate", f"{root}/drafts", f"{root}/in", "--quant", "2"])
+    with pytest.raises(KeyError, match="unknown setting"):
+        main(["--set", "nothing=1", "ingest", f"{root}/store", f"{root}/in"])
