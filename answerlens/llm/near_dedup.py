@@ -1,5 +1,8 @@
 """Near-duplicate removal by the exact Jaccard similarity of word shingles.
 
+No query uses the MinHash below: the pipeline's stage finds its candidates by SimHash (simhash_similar) and shares the exact
+comparison.
+
 MinHash only finds candidates: the minima of BANDS * ROWS hash orders are cut into bands, and texts that agree in all rows
 of a band are candidates. Two texts of similarity s share no band with a chance of (1 - s**ROWS)**BANDS, which is 1.3e-7 at
 0.8 and less above. Candidates make clusters; the texts of a cluster meet in one task, which compares their whole sets of

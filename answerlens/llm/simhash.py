@@ -58,10 +58,10 @@ def fingerprints(df: DataFrame, text: str, name: str) -> DataFrame:
     return arrow_map(df, run, extended(df, (name, "long")))
 
 
-def masks(radius: int) -> list[int]:
-    """The bits each table keeps, as signed longs."""
+def masks(radius: int, bits: int = 64) -> list[int]:
+    """The bits each table keeps of fingerprints of `bits` bits, as signed longs."""
     vectors = range(1, 2 ** (radius + 1))
-    dealt = [vectors[i % len(vectors)] for i in range(64)]
+    dealt = [vectors[i % len(vectors)] for i in range(bits)]
     unsigned = [sum(1 << i for i, m in enumerate(dealt) if (m & v).bit_count() % 2) for v in vectors]
     return [x - (1 << 64) if x >> 63 else x for x in unsigned]
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from answerlens.llm.decontaminate import contaminated, decontaminate
 from answerlens.llm.line_dedup import line_dedup
-from answerlens.llm.near_dedup import near_dedup
 from answerlens.llm.quality_rules import quality_rules, train
 from answerlens.llm.sentencepieces import Pieces, encode
+from answerlens.llm.simhash_similar import similar_dedup
 from answerlens.storage import materialise
 
 
@@ -39,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (0.8 or more of five-word shingles): that of the smallest doc_id."""
-    return near_dedup(docs)
+    return similar_dedup(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
