@@ -4,7 +4,8 @@ The fingerprint is a SimHash of the set of a text's word shingles, wide enough f
 in 15 % of its bits: WORDS words of WORD_BITS bits for the tables, and CHECK_BITS further bits. The tables are simhash's
 covering masks, of radius WORD_RADIUS for each word: two texts whose words differ in fewer than WORDS * (WORD_RADIUS + 1)
 bits in all have a word within that radius, so they meet in a table, always. Texts that meet are candidates if their
-check bits differ in CHECK_RADIUS or fewer.
+check bits differ in CHECK_RADIUS or fewer. A fingerprint goes out three times a word, not seven: tables that keep some bits in
+common go together, to the task of these bits, which makes the buckets of each.
 
 Candidates make clusters; the texts of a cluster meet in one task, which compares their whole sets of shingles, so a link
 is never wrong. By calculation, one is missed with a chance of 5e-7 at a similarity of exactly 0.8 (3e-7 that the pair
@@ -15,6 +16,9 @@ shingles, whose bits differ with 0.1875, are the worst: 3e-4.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,12 @@ CHECK_BITS, CHECK_RADIUS = 160, 49
 PRINT_BYTES = (WORDS * WORD_BITS + CHECK_BITS) // 8
 #: Bucket sizes up to which all pairs are compared, rows and pairs of a large bucket compared at once, fingerprints dealt at once.
 SMALL, TILE, PAIRS, DEALT = 32, 64, 1 << 20, 512
+#: Tables (from 1, of the seven of a word) that go together: 1, 3, 5 and 7 keep 4 bits in common, 2 and 6 keep 8. So a task holds
+#: a sixteenth of all fingerprints at once; where there are more than MOST_TOGETHER, each table goes by itself.
+TOGETHER, ALONE = ((1, 3, 5, 7), (2, 6), (4,)), tuple((t,) for t in range(1, 2 ** (WORD_RADIUS + 1)))
+MOST_TOGETHER = 1 << 24
+#: Links that a task holds before it reduces them to a forest.
+HELD_LINKS = 1 << 19
 SALTS = np.arange(1, PRINT_BYTES // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: Each byte with its bits in eight bytes, so that 255 rows are counted by plain sums.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -59,18 +69,24 @@ def printed(df: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(df, run, "doc_id long, fp long, print binary")
 
 
-def dealt(prints: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, check, check): a row per fingerprint, a column of keys per table.
+def kept(group: tuple[int, ...]) -> tuple[int, list[int], int]:
+    """The bits of a word that some table of the group keeps, those that each keeps, and those that all keep."""
+    own = [masks(WORD_RADIUS, WORD_BITS)[t - 1] for t in group]
+    return reduce(or_, own), own, reduce(and_, own)
 
-    A key is the table (8 bits), the bits it keeps (24), and the first 32 check bits.
+
+def dealt(prints: list[bytes], split: tuple[tuple[int, ...], ...] = ALONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, check, check): a row per fingerprint, a column of keys per word and group of tables.
+
+    A key is the number of word and group (8 bits), the bits of the word that the group keeps (24), and the first 32 check bits.
     """
     raw = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, PRINT_BYTES)
     own = raw[:, : WORDS * WORD_BITS // 8].reshape(len(raw), WORDS, WORD_BITS // 8).astype(np.uint64)
     words = own[:, :, 0] | own[:, :, 1] << np.uint64(8) | own[:, :, 2] << np.uint64(16)
-    kept = (words[:, :, None] & np.array(masks(WORD_RADIUS, WORD_BITS), np.uint64)).reshape(len(raw), -1)
+    bits = (words[:, :, None] & np.array([kept(g)[0] for g in split], np.uint64)).reshape(len(raw), -1)
     check = np.ascontiguousarray(raw[:, -CHECK_BITS // 8 :])
     rest = np.ascontiguousarray(check[:, 4:]).view(np.uint64)
-    keys = np.arange(kept.shape[1], dtype=np.uint64) << np.uint64(56) | kept << np.uint64(32) | np.ascontiguousarray(check[:, :4]).view(np.uint32)
+    keys = np.arange(bits.shape[1], dtype=np.uint64) << np.uint64(56) | bits << np.uint64(32) | np.ascontiguousarray(check[:, :4]).view(np.uint32)
     return keys, rest[:, 0], rest[:, 1]
 
 
@@ -119,36 +135,86 @@ def bucket_links(cols: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1))
 
 
+def table_links(cols: list[np.ndarray], split: tuple[tuple[int, ...], ...], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the links of all tables of whole shards, whose rows are in any order."""
+    group = (cols[0] >> np.uint64(56)) % np.uint64(len(split))
+    for g, tables in enumerate(split):
+        at = np.flatnonzero(group == g)
+        if not len(at):
+            continue
+        for mask in kept(tables)[1]:
+            key = cols[0][at] & np.uint64(0xFF << 56 | mask << 32 | 0xFFFFFFFF)
+            order = np.argsort(key)
+            x, y = bucket_links([key[order], *(c[at[order]] for c in cols[1:])], radius)
+            yield at[order[x]], at[order[y]]
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): each node of the links (a, b) but the smallest of its component, and that one."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        x, y = root[x], root[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    other = root != np.arange(len(nodes))
+    return nodes[other], nodes[root[other]]
+
+
 def candidates(nodes: DataFrame, radius: int = CHECK_RADIUS) -> DataFrame:
-    """(a, b): links between nodes (rep, print) that meet in a table and are within the radius, or chains of such links."""
+    """(a, b): links that connect all nodes (rep, print) that meet in a table and are within the radius, and no others.
+
+    A task reduces the links of its buckets to stars around the smallest node of each component it sees, so that a large
+    group costs it a link a node, not one a node and table.
+    """
+    split = TOGETHER if nodes.select("rep").count() <= MOST_TOGETHER else ALONE
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, DEALT) for at in range(0, batch.num_rows, DEALT)):
-                keys, *rest = dealt(part.column(1).to_pylist())
+                keys, *rest = dealt(part.column(1).to_pylist(), split)
                 more = [np.repeat(c, keys.shape[1]) for c in (*rest, part.column(0).to_numpy())]
                 yield pa.record_batch([pa.array(c.ravel().view(np.int64)) for c in (keys, *more)], names=["key", "one", "two", "rep"])
 
     rows = arrow_map(nodes.select("rep", "print"), deal, "key long, one long, two long, rep long")
-    met = rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
+    common = np.array([0xFF << 24 | kept(g)[2] for _ in range(WORDS) for g in split], np.uint64)
+    shard = F.expr(f"shiftright(key, 32) & array({', '.join(f'{m}L' for m in common.tolist())})[cast(shiftrightunsigned(key, 56) as int)]")
+    met = rows.repartition(shard).sortWithinPartitions(shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(cols: list[np.ndarray]) -> pa.RecordBatch:
-            x, y = (cols[3][i].view(np.int64) for i in bucket_links(cols[:3], radius))
-            return pa.record_batch([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+        links, n_links = [], 0
+
+        def forest_of() -> tuple[np.ndarray, np.ndarray]:
+            return stars(*(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in links)]) for i in (0, 1)))
+
+        def out(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(x) for x in found], names=["a", "b"])
 
         held = [np.zeros(0, np.uint64)] * 4
-        for batch in batches:
-            own = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
-            cols = [np.concatenate(x) for x in zip(held, own, strict=True)]
-            bucket = cols[0] >> np.uint64(32)
-            change = np.flatnonzero(bucket[1:] != bucket[:-1])
-            whole = int(change[-1]) + 1 if len(change) else 0  # the last bucket may go on in the next batch
-            if whole:
-                yield linked([c[:whole] for c in cols])
-            held = [c[whole:] for c in cols]
-        if len(held[0]):
-            yield linked(held)
+        for batch in chain(batches, [None]):
+            cols = held
+            if batch is not None:
+                own = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
+                cols = [np.concatenate(x) for x in zip(held, own, strict=True)]
+            shards = cols[0] >> np.uint64(32) & common[cols[0] >> np.uint64(56)]
+            change = np.flatnonzero(shards[1:] != shards[:-1])
+            whole = len(shards) if batch is None else int(change[-1]) + 1 if len(change) else 0  # the last shard may go on in the next batch
+            held, cols = [c[whole:] for c in cols], [c[:whole] for c in cols]
+            reps = cols[3].view(np.int64)
+            for x, y in table_links(cols[:3], split, radius):
+                links.append((reps[x], reps[y]))
+                n_links += len(x)
+                if n_links > HELD_LINKS:
+                    links = [forest_of()]
+                    n_links = len(links[0][0])
+                    if n_links > HELD_LINKS // 2:
+                        yield out(links[0])
+                        links, n_links = [], 0
+        yield out(forest_of())
 
     return arrow_map(met, run, "a long, b long").distinct()
 
