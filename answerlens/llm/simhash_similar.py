@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from answerlens.llm.near_dedup import SEED, SHINGLE, SIMILAR, shingles, verified
 from answerlens.llm.shared import HashCache, arrow_map, as_bytes, mix
-from answerlens.llm.simhash import components, firsts, grouped, masks
+from answerlens.llm.simhash import MOST_IDS, components, firsts, grouped, masks
 from answerlens.storage import materialise
 
 WORDS, WORD_BITS, WORD_RADIUS = 28, 24, 2
@@ -231,6 +231,9 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     def link(nodes: DataFrame) -> DataFrame:
         found = components(candidates(nodes))
         clusters = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+        # Broadcast, so that only the texts of clusters move.
+        if clusters.limit(MOST_IDS // 2 + 1).count() <= MOST_IDS // 2:
+            clusters = F.broadcast(clusters)
         return verified(rows, clusters, shingle, similar)
 
     return grouped(materialise(printed(rows, shingle), "prints"), link, F.first("print").alias("print"))
